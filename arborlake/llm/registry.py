@@ -4,15 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arborlake.llm import warc
+from arborlake.llm.decontaminate import benchmark_matches, contamination_digest
+from arborlake.llm.license import license_report
+from arborlake.llm.linededup import drop_boilerplate
+from arborlake.llm.mixing import mix_documents
 from arborlake.llm.simhash import simhash_components
+from arborlake.llm.urlfilter import judge_urls
 from arborlake.runtime import read_table
 
+# The rules (action, host, path prefix).
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(read_table(spark, sf_dir, "documents"))
+
+
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(read_table(spark, sf_dir, "pages"))
+    return warc.record_columns(warc.read_archive(spark, archive)).drop("url")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(benchmark_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"]))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(read_table(spark, sf_dir, "pages"))
+
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
-QUERIES = {
-    "op10_simhash_near_dedup": op10_simhash_near_dedup,
-}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_archive, op4_decontaminate, op6_mix_sources, op7_url_filter, op8_line_dedup, op10_simhash_near_dedup)}
+
 ORACLE: dict[str, str] = {}

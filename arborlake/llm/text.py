@@ -42,3 +42,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def arrow_columns(ddl: str, rows: list[tuple]) -> dict[str, pa.Array]:
+    """The rows as Arrow columns of a schema such as ``"a long, b array<string>"``."""
+    out = {}
+    for i, field in enumerate(ddl.split(", ")):
+        name, kind = field.split()
+        kind = pa.list_(_TYPES[kind[6:-1]]) if kind.startswith("array<") else _TYPES[kind]
+        out[name] = pa.array([r[i] for r in rows], kind)
+    return out
