@@ -18,7 +18,7 @@ def html_lines(html: Column) -> Column:
     html = F.coalesce(html, F.lit(""))
     for pattern in UNSEEN:
         html = F.regexp_replace(html, pattern, "")
-    return F.filter(F.transform(F.split(html, BREAK), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(html, BREAK), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _key(line: Column) -> Column:

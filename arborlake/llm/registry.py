@@ -9,6 +9,7 @@ from arborlake.llm.decontaminate import benchmark_matches, contamination_digest
 from arborlake.llm.license import license_report
 from arborlake.llm.linededup import drop_boilerplate
 from arborlake.llm.mixing import mix_documents
+from arborlake.llm.oracle import ORACLE  # noqa: F401
 from arborlake.llm.simhash import simhash_components
 from arborlake.llm.urlfilter import judge_urls
 from arborlake.runtime import read_table
@@ -53,4 +54,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_archive, op4_decontaminate, op6_mix_sources, op7_url_filter, op8_line_dedup, op10_simhash_near_dedup)}
 
-ORACLE: dict[str, str] = {}
+
