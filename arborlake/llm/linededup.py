@@ -25,7 +25,7 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.2, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """One row per page: page_id, host, n_lines, n_dropped, text (the kept lines, joined by line ends).
 
     A line is dropped on a host if it stands on more than ``ratio`` of the host's pages and on at least

@@ -67,7 +67,7 @@ WITH p AS (SELECT row_number() OVER () AS r, page_id, {_HOST} AS host,
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 l AS (SELECT r, host, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM p),
 n AS (SELECT host, line, count(DISTINCT r) AS n FROM l GROUP BY host, line),
-b AS (SELECT host, line FROM n JOIN t USING (host) WHERE n >= 5 AND pages >= 5 AND n > pages * CAST(0.2 AS DOUBLE)),
+b AS (SELECT host, line FROM n JOIN t USING (host) WHERE n >= 5 AND pages >= 5 AND n > pages * CAST(0.1 AS DOUBLE)),
 k AS (SELECT l.r, count(*) AS kept, string_agg(l.line, chr(10) ORDER BY l.at) AS text FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.host = l.host AND b.line = l.line) GROUP BY l.r)
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(kept, 0) AS BIGINT) AS n_dropped, coalesce(text, '') AS text FROM p LEFT JOIN k USING (r)
 """
