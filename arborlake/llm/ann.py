@@ -5,8 +5,10 @@ distance as D / d times their part of it. Vectors lie in blocks of their list, d
 dimension. A search adds up the distances of a block from one group of dimensions to the next, and after
 each abandons the candidates whose estimate exceeds the query's bound by more than the test allows:
 ``part * D / d > bound * (1 + epsilon / sqrt(d)) ** 2``. The bound starts as the distance of the k-th
-nearest vector of the fitted sample and falls as neighbours are found. Survivors get their exact cosine from
-the original vectors in double precision.
+nearest vector of the fitted sample. Survivors get their exact cosine from the original vectors in double precision.
+
+How many lists a query probes is measured on the fitted sample against brute force, for a wanted recall: few where
+vectors lie in clusters, many where they have no structure.
 """
 
 from __future__ import annotations
@@ -54,6 +56,18 @@ def _fit(sample: np.ndarray, lists: int, seed: int, rounds: int = 10) -> np.ndar
     return centres
 
 
+def _probes(sample: np.ndarray, centres: np.ndarray, k: int, recall: float, seed: int, queries: int = 256) -> int:
+    """Lists to probe so that the wanted part of the k nearest within the sample is found, by brute force."""
+    some = np.random.default_rng(seed).choice(len(sample), min(queries, len(sample)), replace=False)
+    far = _squares(sample[some], sample)
+    far[np.arange(len(some)), some] = np.inf
+    near = np.argsort(far, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    own = np.concatenate([_squares(sample[i : i + 4096], centres).argmin(1) for i in range(0, len(sample), 4096)])
+    place = _squares(sample[some], centres).argsort(axis=1).argsort(axis=1)
+    needed = np.sort(np.take_along_axis(place, own[near], axis=1), axis=None)
+    return int(needed[min(len(needed) - 1, int(np.ceil(len(needed) * recall)))]) + 1 if len(needed) else 1
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, dims)
 
@@ -75,7 +89,7 @@ def scan_block(q: np.ndarray, bound: np.ndarray, columns: np.ndarray, epsilon: f
     return a, b
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int | None = None, probes: int | None = None, epsilon: float = 2.1, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int | None = None, recall: float = 0.97, epsilon: float = 2.5, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose vec_id is divisible by ``every`` its k nearest found.
 
     vectors: vec_id, embedding; further columns are ignored. Vectors that are null, zero, or hold null or
@@ -84,10 +98,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int | None =
     repeat vec_id and vector count once. Score is the cosine of the original vectors in double precision,
     ties go to the smaller vec_id; fewer candidates than k give fewer rows, none give none.
 
-    The lists and the starting bounds are fitted to at most SAMPLE vectors (those with the smallest hashes; a
-    bounded sample however large the input), but every vector is indexed. Equal vectors share one entry with their
-    k + 1 smallest vec_ids, which are all that can be among k nearest, so a very common vector costs no more
-    than another. lists defaults to 2 * sqrt(vectors), bounded by the sample; probes to an eighth of the lists, 12 at least.
+    The lists, the number of probes for ``recall`` and the starting bounds are fitted to at most SAMPLE vectors
+    (those with the smallest hashes; a bounded sample however large the input), but every vector is indexed.
+    The k nearest of the sample are candidates too, so each query finds k if there are as many. Equal
+    vectors share one entry with their k + 1 smallest vec_ids, which are all that can be among k nearest, so a
+    very common vector costs no more than another. lists defaults to 2 * sqrt(vectors), bounded by the sample.
     """
     spark = vectors.sparkSession
     v = F.col("embedding")
@@ -103,16 +118,19 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int | None =
     entries = durable(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
     n = entries.count()
     limit = max(2, min(SAMPLE, SAMPLE_FLOATS // dims))
-    sample = entries.orderBy(F.xxhash64("v")).limit(limit).select("v").collect()
+    sample = entries.orderBy(F.xxhash64("v")).limit(limit).collect()
     turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))[0]
-    sample = _unit(np.array([r.v for r in sample])) @ turn
+    own_ids, raw = [list(r.ids) for r in sample], np.array([r.v for r in sample])
+    sample = _unit(raw) @ turn
     lists = max(1, min(lists or int(2 * n**0.5), len(sample) // 4))
-    probes = min(lists, probes or max(12, lists // 8))
-    fitted = spark.sparkContext.broadcast((turn, _fit(sample, lists, seed), sample.astype(np.float32)))
+    centres = _fit(sample, lists, seed)
+    probes = min(lists, _probes(sample, centres, k, recall, seed))
+    fitted = spark.sparkContext.broadcast((turn, centres))
+    known = spark.sparkContext.broadcast((sample, raw, own_ids))
     step = max(8, -(-dims // 8))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, centres, _ = fitted.value
+        turn, centres = fitted.value
         for b in batches:
             own = _squares(_unit(_matrix(b.column(0), dims)) @ turn, centres).argmin(1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int32())], ["v", "ids", "list"])
@@ -133,21 +151,33 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int | None =
 
     index = salted(placed, F.col("v"), sizes, BLOCK).groupBy("list", "salt").applyInArrow(block, "list int, columns binary, vectors binary, lengths array<int>, ids array<long>")
 
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's k nearest of the sample and, as a bound, how far the last of them is."""
+        turn, (sample, raw, own_ids) = fitted.value[0], known.value
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part, out = b.slice(at, 256), []
+                original = _matrix(part.column(1), dims)
+                far = _squares(_unit(original) @ turn, sample)
+                for i, (mine, v, row) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), far, strict=True)):
+                    close = np.argpartition(row, k)[: k + 1] if len(row) > k else np.arange(len(row))
+                    score = raw[close] @ original[i] / (np.sqrt((raw[close] ** 2).sum(1)) * np.sqrt((original[i] ** 2).sum()))
+                    found = sorted((-s, x, d) for s, j, d in zip(score.tolist(), close.tolist(), row[close].tolist(), strict=True) for x in own_ids[j] if x != mine)[:k]
+                    out.append((mine, v, found[-1][2] if len(found) == k else float("inf"), [x for _, x, _ in found], [-s for s, _, _ in found]))
+                yield pa.RecordBatch.from_pydict(arrow_columns("id long, v array<double>, bound double, near array<long>, scores array<double>", out))
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, centres, sample = fitted.value
+        turn, centres = fitted.value
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                q = _unit(_matrix(part.column(1), dims)) @ turn
-                far = _squares(q, sample.astype(np.float64))
-                far[far < 1e-9] = np.inf  # the query's own entry gives no bound
-                bound = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] >= k else np.full(len(q), np.inf)
-                lists_ = np.argpartition(_squares(q, centres), probes - 1, axis=1)[:, :probes]
-                out = [(int(n), i, x, float(t)) for i, x, t, near in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), bound, lists_, strict=True) for n in near]
+                near = np.argpartition(_squares(_unit(_matrix(part.column(1), dims)) @ turn, centres), probes - 1, axis=1)[:, :probes]
+                out = [(int(n), i, x, t) for i, x, t, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), near, strict=True) for n in own]
                 yield pa.RecordBatch.from_pydict(arrow_columns("list int, id long, v array<double>, bound double", out))
 
     queries = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).distinct()
-    probed = durable(queries.mapInArrow(probe, "list int, id long, v array<double>, bound double"), "probed")
+    queries = durable(queries.mapInArrow(sampled, "id long, v array<double>, bound double, near array<long>, scores array<double>"), "queries")
+    probed = durable(queries.select("id", "v", "bound").mapInArrow(probe, "list int, id long, v array<double>, bound double"), "probed")
     asked = {r.list: r["count"] for r in probed.groupBy("list").count().collect()}
     batch = salted(probed, F.col("id"), asked, BATCH).groupBy("list", "salt").agg(F.collect_list(F.struct("id", "bound", "v")).alias("asked"))
     met = index.join(batch.drop("salt"), "list")
@@ -176,5 +206,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int | None =
             yield pa.RecordBatch.from_pydict(arrow_columns("query_id long, vec_id long, score double", out))
 
     near = met.select("columns", "vectors", "lengths", "ids", "asked").mapInArrow(search, "query_id long, vec_id long, score double")
+    first = queries.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "scores")).alias("x")).select("query_id", F.col("x.near").alias("vec_id"), F.col("x.scores").alias("score"))
+    near = near.unionAll(first).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

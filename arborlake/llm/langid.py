@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.llm.linededup import html_lines
 from arborlake.llm.text import slices
+from arborlake.llm.urlfilter import host_of
 from arborlake.runtime import durable, small_side
 
 NONE = "und"
@@ -142,3 +144,12 @@ def document_languages(docs: DataFrame, **how) -> DataFrame:
     """:func:`identify` over the corpus table: ``lang`` is the declared language, ``source`` the host."""
     model = train(training_sample(docs, "text", F.col("lang")))
     return identify(docs, model, F.col("lang"), F.col("source"), F.lit(None).cast("string"), **how)
+
+
+def page_languages(pages: DataFrame, **how) -> DataFrame:
+    """:func:`identify` over raw pages: the markup's language, the url's host and its last label as suffix."""
+    host = host_of(F.col("url"))
+    suffix = F.regexp_extract(host, r"([^.:]*)(?::\d*)?$", 1)
+    text = pages.withColumn("__visible", F.array_join(html_lines(F.col("html")), "\n"))
+    declared = markup_language(F.col("html"))
+    return identify(text, train(training_sample(text, "__visible", declared)), declared, host, suffix, text="__visible", **how).drop("__visible")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from arborlake.llm import warc
+from arborlake.llm.ann import nearest
 from arborlake.llm.decontaminate import benchmark_matches, contamination_digest
+from arborlake.llm.langid import document_languages, page_languages
 from arborlake.llm.license import license_report
 from arborlake.llm.linededup import drop_boilerplate
 from arborlake.llm.mixing import mix_documents
 from arborlake.llm.oracle import ORACLE  # noqa: F401
 from arborlake.llm.simhash import simhash_components
+from arborlake.llm.tokenfile import encode_corpus
 from arborlake.llm.urlfilter import judge_urls
 from arborlake.runtime import read_table
 
@@ -32,10 +38,25 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.record_columns(warc.read_archive(spark, archive)).drop("url")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = document_languages(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("__language").alias("language"), F.col("__confidence").alias("confidence"), F.col("__declared").alias("declared"), F.col("__accepted").alias("accepted"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fusion over raw pages, with the markup's language, the host and its address suffix."""
+    found = page_languages(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", F.col("__language").alias("language"), F.col("__confidence").alias("confidence"), F.col("__declared").alias("declared"), F.col("__accepted").alias("accepted"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(benchmark_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"]))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
@@ -48,10 +69,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(read_table(spark, sf_dir, "pages"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_archive, op4_decontaminate, op6_mix_sources, op7_url_filter, op8_line_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_archive, op3_language_id, op4_decontaminate, op5_nearest_neighbours, op6_mix_sources, op7_url_filter, op8_line_dedup, op9_token_files, op10_simhash_near_dedup, language_id_pages)} | {"pipeline": corpus_pipeline.run}
 
 
