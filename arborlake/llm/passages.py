@@ -194,7 +194,7 @@ def match_queries(docs: DataFrame, queries: list[tuple[tuple[bytes, ...], float,
     hits = _hits(docs, index, keep, extra, extra_schema)
     matcher = _matcher(hits, index)
     shared = docs.sparkSession.sparkContext.broadcast(matcher)
-    stay = [c for c in hits.columns if not c.startswith("__")]
+    stay = [c for c in hits.columns if c not in ("__n", "__places", "__numbers")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.select(*stay).schema), make_schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

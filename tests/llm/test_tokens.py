@@ -13,7 +13,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def awkward(n, seed=3):
     rnd = random.Random(seed)
-    bits = [" ", "  ", "\n", "\n\n", " \n", "\t", "a", "The", "it's", "'ll", "ß", "É", "日本", "12", "3.5", "!?", "-", " ", " ", "\x1c", "\x00", "<|endoftext|>", "🎉", " the", " 'tis", "x" * 30]
+    bits = [" ", "  ", "\n", "\n\n", " \n", "\t", "a", "The", "it's", "'ll", "ß", "É", "日本", "12", "3.5", "!?", "-", " ", " ", "\x1c", "\x00", "<|endoftext|>", "🎉", " the", " 'tis", "x" * 30, ",", ".", "a,b", "it's,", "Ω.", "½.", "日,", "\n\n\n"]
     return ["".join(rnd.choices(bits, k=rnd.randrange(40))) for _ in range(n)] + ["", " ", "a ", " a", "\n a", "<|endoftext|> b"]
 
 
@@ -21,8 +21,19 @@ def test_units_equal_the_tokenizer(monkeypatch):
     tok = Tokenizer.from_file(PATH)
     units = tokenfile.Units(PATH)
     monkeypatch.setattr(tokenfile, "REMEMBERED", 300)
-    for t in awkward(3000):
-        assert units.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    texts = awkward(3000) + [" ".join(x.split()) for x in awkward(2000, 4)]
+    for at in range(0, len(texts), 50):
+        some = texts[at : at + 50]
+        for t, ids in zip(some, units.encode_all(some), strict=True):
+            assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_units_on_documents():
+    import duckdb
+
+    tok, units = Tokenizer.from_file(PATH), tokenfile.Units(PATH)
+    texts = [x for (x,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' UNION ALL SELECT html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall()]
+    assert all(a.tolist() == e.ids for a, e in zip(units.encode_all(texts), tok.encode_batch(texts, add_special_tokens=False), strict=True))
 
 
 @pytest.mark.parametrize("n,kinds", [(1, 1), (5, 2), (70, 3), (40_000, 40), (60_000, 9000), (40_000, 40_000)])
