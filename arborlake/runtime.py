@@ -11,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table may be broadcast; above it the same join runs with a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and estimated bytes up to which a table may be broadcast; above either the same join runs with a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -49,8 +49,10 @@ def durable(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` (cheap to read, best a durable table) has at most ``rows`` rows."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` (cheap to read, best a durable table) is small: first by the optimizer's estimate, an upper one
+    as it takes filters to keep everything, then by counting its rows."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes())) <= BROADCAST_BYTES and df.count() <= rows
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
