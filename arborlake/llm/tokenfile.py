@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,32 +20,46 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlake.llm import rans
-from arborlake.llm.text import arrow_columns
+from arborlake.llm.text import arrow_columns, slices
 from arborlake.runtime import durable, shared_path, small_side
 
 #: Ids in a block and in a group, and units of text whose ids a worker remembers.
-BLOCK_IDS, GROUP_IDS, REMEMBERED = 16_384, 1_048_576, 500_000
+BLOCK_IDS, GROUP_IDS, REMEMBERED = 16_384, 1_048_576, 400_000
 END_ID = 0
 _SHARD = "<IQ"
-#: Characters at which a text is not cut by plain splitting.
-_ODD = ("  ", " \n", "\n ", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: What keeps a text from being cut by plain replacement: other white space than single spaces and one or two line ends.
+_ODD = ("  ", " \n", "\n ", "\n\n\n", "\x00", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Characters from here on are not judged here but left to the tokenizer, whose character tables may be of another age.
+_JUDGED = "\u0530"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that a byte-level vocabulary has for bytes: printable ones stand for themselves, others follow from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Units(dict):
     """Ids of units of text, each looked up in the tokenizer once.
 
-    A unit is what stands between cuts before single spaces with no white space on either side. The byte-level
-    tokenizer always starts a new piece there, so a text's ids are its units' ids in a row.
+    Texts are cut into units where the byte-level tokenizer always starts a new piece, so that a text's ids are its units'
+    ids in a row: before a single space between characters that are no white space, around one or two line ends
+    between such, and before a comma or full stop after a letter or digit.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.n_bytes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(n)], np.int64)  # a character a byte
-        self.new: list[str] = []
-        self.flat, self.start, self.length, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        super().__init__()
+        self.tokenizer, self.letters, self.new = Tokenizer.from_file(path), _byte_letters(), []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.point, self.word_end = np.zeros(1 << 14, bool), np.zeros(1 << 14, bool)
 
     def __missing__(self, unit: str) -> int:
         self[unit] = n = len(self)
@@ -52,45 +67,58 @@ class Units(dict):
         return n
 
     def _learn(self) -> None:
+        """Look up the new units: single words by the tokenizer's model, whose one piece they are, all else by encoding."""
         if not self.new:
             return
         units, self.new = self.new, []
-        joins = [i for i, u in enumerate(units) if u[0:1] == " " and u[1:2].strip() and u[-1].strip()]
-        ids: dict[int, np.ndarray] = {}
-        for at in range(0, len(joins), 4096):
-            some = joins[at : at + 4096]
-            got = np.array(self.tokenizer.encode("".join(units[i] for i in some), add_special_tokens=False).ids, np.int32)
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[got]), np.cumsum([len(units[i].encode()) for i in some]))
-            ids.update(zip(some, np.split(got, (cuts + 1)[:-1]), strict=True))
-        rest = [i for i in range(len(units)) if i not in ids]
+        model, ids, rest = self.tokenizer.model, [None] * len(units), []
+        for i, u in enumerate(units):
+            if u.removeprefix(" ").isalpha() and max(u) < _JUDGED:
+                ids[i] = [t.id for t in model.tokenize(u.encode().decode("latin-1").translate(self.letters))]
+            else:
+                rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch([units[i] for i in rest], add_special_tokens=False), strict=True):
-            ids[i] = np.array(e.ids, np.int32)
-        first = len(self) - len(units)
-        lengths = np.array([len(ids[i]) for i in range(len(units))])
-        while self.used + lengths.sum() > len(self.flat):
+            ids[i] = e.ids
+        first, lengths = len(self) - len(units), np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(lengths.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while len(self) > len(self.start):
-            self.start, self.length = (np.concatenate((a, np.zeros_like(a))) for a in (self.start, self.length))
-        self.flat[self.used : self.used + lengths.sum()] = np.concatenate([ids[i] for i in range(len(units))])
+            self.start, self.length, self.point, self.word_end = (np.concatenate((a, np.zeros_like(a))) for a in (self.start, self.length, self.point, self.word_end))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
         self.start[first : len(self)] = self.used + np.cumsum(lengths) - lengths
         self.length[first : len(self)] = lengths
-        self.used += int(lengths.sum())
+        self.point[first : len(self)] = [u[:1] in (",", ".") for u in units]
+        self.word_end[first : len(self)] = [u[-1:].isalnum() and u[-1] < _JUDGED for u in units]
+        self.used += total
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.used = 0
-        if any(x in text for x in _ODD) or text[0] in " \n" or text[-1] in " \n":
-            parts = _cut(text)
-        else:
-            parts = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else _cut(text)
+    def _units(self, parts: list[str]) -> np.ndarray:
         unit = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
         self._learn()
+        return unit
+
+    def _ids(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each unit)."""
         n = self.length[unit]
-        return self.flat[np.repeat(self.start[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return self.flat[np.repeat(self.start[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each whole text."""
+        if len(self) > REMEMBERED:
+            self._forget()
+        parts, ends, plain = [], [], []
+        for text in texts:
+            plain.append(bool(text) and not (any(x in text for x in _ODD) or text[0] in " \n" or text[-1] in " \n"))
+            if plain[-1]:
+                parts += text.replace(" ", "\x00 ").replace(",", "\x00,").replace(".", "\x00.").replace("\n", "\x00\n\x00").split("\x00")
+            ends.append(len(parts))
+        unit = self._units(parts)
+        ids, n = self._ids(unit)
+        wrong = np.flatnonzero(self.point[unit[1:]] & ~self.word_end[unit[:-1]]) + 1
+        at = np.concatenate(([0], np.cumsum(n)))[[0, *ends]]
+        begins = [0, *ends[:-1]]
+        spoilt = set(np.searchsorted(ends, wrong[~np.isin(wrong, begins)], side="right").tolist())
+        return [ids[at[i] : at[i + 1]] if plain[i] and i not in spoilt else self._ids(self._units(_cut(text)))[0] if text else np.zeros(0, np.int32) for i, text in enumerate(texts)]
 
 
 def _cut(text: str) -> list[str]:
@@ -144,9 +172,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             keys, lengths, parts, cuts, held, block = [], [], [], [], 0, 0
             return pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary())})
 
-        for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(units.encode(text.as_py()), np.int32(END_ID))
+        for b in slices(batches, 64):
+            for key, ids in zip(b.column(0).to_pylist(), units.encode_all(b.column(1).to_pylist()), strict=True):
+                ids = np.append(ids, np.int32(END_ID))
                 if len(ids) > 4 * BLOCK_IDS and keys:  # a very long text is a group of its own
                     yield group()
                 keys.append(key)
