@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from arborlake.llm.text import arrow_columns
 from arborlake.runtime import durable
 
-#: Vectors that the lists are fitted to, at most, and floats of them.
+#: Vectors that the lists are fitted to, about, and floats of them.
 SAMPLE, SAMPLE_FLOATS = 20_000, 8_000_000
 #: Vectors in a block and queries in a batch.
 BLOCK, BATCH = 512, 128
@@ -98,8 +98,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int | None =
     repeat vec_id and vector count once. Score is the cosine of the original vectors in double precision,
     ties go to the smaller vec_id; fewer candidates than k give fewer rows, none give none.
 
-    The lists, the number of probes for ``recall`` and the starting bounds are fitted to at most SAMPLE vectors
-    (those with the smallest hashes; a bounded sample however large the input), but every vector is indexed.
+    The lists, the number of probes for ``recall`` and the starting bounds are fitted to about SAMPLE vectors
+    (drawn by hash, about that many, and twice as many at most however large the input), but every vector is indexed.
     The k nearest of the sample are candidates too, so each query finds k if there are as many. Equal
     vectors share one entry with their k + 1 smallest vec_ids, which are all that can be among k nearest, so a
     very common vector costs no more than another. lists defaults to 2 * sqrt(vectors), bounded by the sample.
@@ -118,7 +118,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int | None =
     entries = durable(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
     n = entries.count()
     limit = max(2, min(SAMPLE, SAMPLE_FLOATS // dims))
-    sample = entries.orderBy(F.xxhash64("v")).limit(limit).collect()
+    part = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(min(1.0, limit / n) * (1 << 30))
+    sample = (entries if n <= limit else entries.where(part)).limit(2 * limit).collect()
     turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))[0]
     own_ids, raw = [list(r.ids) for r in sample], np.array([r.v for r in sample])
     sample = _unit(raw) @ turn
