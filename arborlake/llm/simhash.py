@@ -3,7 +3,9 @@
 Covering: each bit gets one of the 2^(r+1) - 1 non-zero vectors of r+1 bits, and each non-zero vector v
 makes a table whose mask keeps the bits with an odd inner product with v. The vectors of r or fewer
 differing bits span a space of at most r dimensions, so some v is orthogonal to all of them, and its table
-masks every difference out: each pair within the radius collides in some table, always.
+masks every difference out: each pair within the radius collides in some table, always. Block masks give the same
+guarantee by another structure (each choice of some blocks of bits) with shorter keys, under which most
+pairs beyond the radius collide too; similarity search by word shingles uses them and then verifies.
 
 Buckets of many distinct fingerprints are not compared pair by pair. Within radius 2 they are joined by
 balls: two fingerprints differ in 2 bits or fewer exactly if the sets of values one bit or less away from
@@ -14,7 +16,8 @@ which returns only a spanning star forest of its real links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ from arborlake.runtime import durable, small_side
 BITS = 64
 #: Buckets of up to this many distinct fingerprints are compared pair by pair.
 PAIRWISE = 48
+#: Pairs per member from which a bucket of the sweep gives a star forest.
+MOST_PAIRS = 4
 #: Fingerprints in a block of a dense bucket (radius over 2).
 BLOCK = 1024
 #: Hashes summed at once, which bounds memory for very long texts.
@@ -45,10 +50,13 @@ def _shingles(words: list[bytes], k: int) -> Iterator[bytes]:
     return (joined[s:e] for s, e in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True))
 
 
-def fingerprint(text: bytes, k: int) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def _hashes(words: list[bytes], k: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, 42) for s in _shingles(space_words(text), k)], dtype="<u8")
+    return np.array([digest(s, 42) for s in _shingles(words, k)], dtype="<u8")
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed integer; zero for none."""
     if not len(h):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -58,6 +66,11 @@ def fingerprint(text: bytes, k: int) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, k: int) -> int:
+    """The fingerprint as a signed 64-bit integer."""
+    return _majority(_hashes(space_words(text), k))
+
+
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for every row."""
 
@@ -102,10 +115,17 @@ def _balls(members: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def _star_forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Real links that connect whatever is connected among ``x``: at most one per member."""
+    """Real links that connect whatever is connected among ``x``: at most one per member.
+
+    The member nearest to the majority of each bit comes first: variants of one text lie around it, so most links are
+    to that text rather than between variants.
+    """
     x = np.unique(x)
+    votes = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    centre = np.packbits(votes * 2 > len(x), bitorder="little").view("<u8")[0]
+    hub = int(np.argmin(np.bitwise_count(x ^ centre)))
     waiting, a, b = np.ones(len(x), bool), [], []
-    for start in range(len(x)):
+    for start in [hub, *range(len(x))]:
         if not waiting[start]:
             continue
         waiting[start] = False
@@ -150,15 +170,15 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return twos.unionAll(_pairs(members.where(F.col("n") <= PAIRWISE), radius)).unionAll(dense).distinct()
 
 
-def groups(prints: DataFrame, radius: int, accept=None) -> DataFrame:
+def groups(prints: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(fp, component_id) for every distinct fingerprint in ``prints`` (doc_id, fp; best a durable table).
 
+    find: from a table of the distinct fp to links (a, b) between them.
+
     component_id is the smallest non-null doc_id of all documents reachable over links; null if none has one.
-    accept: may thin out the links, a function from and to a table of (a, b).
     """
     fps = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    found = links(fps.select("fp"), radius)
-    roots = durable(connected_components(accept(found) if accept else found), "roots")
+    roots = durable(connected_components(find(fps.select("fp"))), "roots")
     linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     least = linked.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
     return linked.join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
@@ -172,49 +192,132 @@ def simhash_components(docs: DataFrame, shingle: int = 5, radius: int = 2) -> Da
     empty table an empty one; other columns are ignored.
     """
     prints = durable(fingerprints(docs, shingle), "simhash")
-    out = prints.join(groups(prints, radius), "fp")
+    out = prints.join(groups(prints, lambda fps: links(fps, radius)), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _short_sets(docs: DataFrame, shingle: int, longest: int) -> DataFrame:
-    """(fp, shingles): the distinct shingle hashes of one document of each fingerprint; null for long ones."""
+def block_masks(blocks: int, kept: int) -> list[int]:
+    """A mask for each choice of ``kept`` of the blocks that the bits are divided into, as signed 64-bit integers.
+
+    ``blocks - kept`` differing bits touch as many blocks at most, so a pair within that radius always agrees under some mask.
+    """
+    bounds = [BITS * i // blocks for i in range(blocks + 1)]
+    parts = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    masks = [sum(c) for c in combinations(parts, kept)]
+    return [m - (1 << BITS) if m >> BITS - 1 else m for m in masks]
+
+
+def _sweep(radius: int):
+    """Compares neighbours in partitions sorted by table and key: (dense, a, b) rows.
+
+    Links within buckets of up to PAIRWISE fingerprints have dense 0; a larger bucket gives one row (1, table, key).
+    """
+
+    def emit(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])))) if len(t) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(t)))
+        big = start[size > PAIRWISE]
+        at = np.arange(len(t))
+        left = np.repeat(start + size, size) - at - 1  # members after this one
+        at = at[np.repeat(size <= PAIRWISE, size) & (left > 0)]
+        a, b, shift = [at[:0]], [at[:0]], 1
+        x = fp.astype("<u8")
+        while len(at):
+            near = at[np.bitwise_count(x[at] ^ x[at + shift]) <= radius]
+            a.append(near)
+            b.append(near + shift)
+            shift += 1
+            at = at[left[at] >= shift]
+        a, b = np.concatenate(a), np.concatenate(b)
+        # buckets in which nearly all are near all others give a star forest instead of pairs
+        bucket = np.searchsorted(start, a, side="right") - 1
+        many = np.flatnonzero(np.bincount(bucket, minlength=len(start)) > MOST_PAIRS * size)
+        stars = [_star_forest(x[start[i] : start[i] + size[i]], radius) for i in many]
+        few = ~np.isin(bucket, many)
+        a = np.concatenate([fp[a[few]], *(p.view("<i8") for p, _ in stars), t[big].astype(np.int64)])
+        b = np.concatenate([fp[b[few]], *(q.view("<i8") for _, q in stars), key[big]])
+        return pa.RecordBatch.from_pydict({"dense": pa.array([0] * (len(a) - len(big)) + [1] * len(big), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        for batch in batches:
+            cols = [np.concatenate((old, batch.column(i).to_numpy())) for i, old in enumerate(rest)]
+            if not len(cols[0]):
+                continue
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            cut = int(np.argmax(last))
+            yield emit(*(c[:cut] for c in cols))
+            rest = [c[cut:][: PAIRWISE + 1] for c in cols]  # one more than are compared shows that a bucket is dense
+        yield emit(*rest)
+
+    return run
+
+
+def near_links(fps: DataFrame, radius: int, blocks: int, kept: int) -> DataFrame:
+    """(a, b): links of up to ``radius`` bits that agree under a block mask; all of those within ``blocks - kept`` bits.
+
+    One shuffle deals every fingerprint to its tables. Buckets of more than PAIRWISE fingerprints are named, not
+    compared, and then dealt in blocks to many tasks.
+    """
+    masks = block_masks(blocks, kept)
+    dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key")).select("t", "key", "fp")
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    swept = durable(dealt.repartition(n, "t", "key").sortWithinPartitions("t", "key").mapInArrow(_sweep(radius), "dense int, a long, b long"), "swept")
+    named = swept.where("dense = 1").select(F.col("a").cast("int").alias("dt"), F.col("b").alias("dk")).distinct()
+    members = durable(dealt.join(small_side(durable(named, "dense")), (F.col("t") == F.col("dt")) & (F.col("key") == F.col("dk"))).select("t", "key", "fp"), "members")
+    sizes = durable(members.groupBy("t", "key").agg(F.count("*").alias("n")), "sizes")
+    dense = _blocks(members.join(small_side(sizes), ["t", "key"]), radius)
+    return swept.where("dense = 0").select("a", "b").unionAll(dense).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def _sketches(docs: DataFrame, shingle: int, size: int) -> DataFrame:
+    """(doc_id, fp, sketch): fingerprint and the smallest distinct shingle hashes of every row, ``size`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
-            for t in b.column(0):
-                words = space_words(t.as_py())
-                if len(words) < longest + shingle:
-                    out.append((fingerprint(t.as_py(), shingle), sorted({xxhash.xxh64_intdigest(s, 42) >> 1 for s in _shingles(words, shingle)})))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["fp", "shingles"])
+            for text in b.column(1):
+                h = _hashes(space_words(text.as_py()), shingle)
+                out.append((_majority(h), np.unique((h >> np.uint64(33)).astype(np.int32))[:size]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32()))], ["doc_id", "fp", "sketch"])
 
-    rows = docs.select(utf8(F.col("text")).alias("text")).where(F.length("text") <= longest * 400)
-    return rows.mapInArrow(run, "fp long, shingles array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, sketch array<int>")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 5, similarity: float = 0.8, exact_below: int = 64) -> DataFrame:
+def similar(x, y, size: int):
+    """Jaccard similarity by bottom sketches: of the ``size`` smallest hashes of both, the part that both have. Exact for small sets."""
+    both = F.slice(F.array_sort(F.array_union(x, y)), 1, size)
+    return F.size(F.array_intersect(both, F.array_intersect(x, y))) / F.greatest(F.size(both), F.lit(1))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 14, blocks: int = 10, kept: int = 3, sketch: int = 128) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Documents within ``radius`` bits are near duplicates; where both have fewer than ``exact_below`` distinct
-    shingles, so that chance agreement of bits is likely, their shingle sets must also have a Jaccard
-    similarity of at least ``similarity``. Of rows that repeat both doc_id and text one stays. Documents
-    without words and those with a null doc_id are kept. All columns are kept, whatever their names.
+    Fingerprints that agree under one of the block masks (certain within ``blocks - kept`` bits, likely beyond) and differ
+    in ``radius`` bits at most are candidates: a similarity of 0.8 moves about ten bits of 64. A candidate counts if the
+    Jaccard similarity of both documents' distinct shingles is ``similarity`` or more: exact for up to ``sketch``
+    shingles, by bottom sketches of that size beyond. Equal fingerprints are one document. Of rows
+    that repeat both doc_id and text one stays. Documents without words and those with a null doc_id are kept. All
+    columns are kept, whatever their names.
     """
-    prints = durable(fingerprints(docs, shingle), "simhash")
-    sets = durable(_short_sets(docs, shingle, exact_below).groupBy("fp").agg(F.min("shingles").alias("shingles")), "sets")
+    prints = durable(_sketches(docs, shingle, sketch), "simhash")
 
     def accept(found: DataFrame) -> DataFrame:
-        rows = durable(found, "links").join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a", "left").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b", "left")
-        both = F.size(F.array_intersect("x", "y"))
-        jaccard = both / (F.size("x") + F.size("y") - both)
-        return rows.where(F.col("x").isNull() | F.col("y").isNull() | (jaccard >= similarity)).select("a", "b")
-
-    with_words = prints.where("doc_id IS NOT NULL AND fp <> 0")
-    first = with_words.join(groups(prints, radius, accept), "fp").groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
+        found = durable(found, "links")
+        ends = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        one = prints.join(small_side(durable(ends, "ends")), "fp").groupBy("fp").agg(F.min("sketch").alias("sketch"))
+        one = durable(one, "sketches")
+        both = found.join(one.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
+        return both.where(similar(F.col("x"), F.col("y"), sketch) >= similarity).select("a", "b")
+
+    with_words = prints.where("doc_id IS NOT NULL AND size(sketch) > 0").select("doc_id", "fp")
+    parts = groups(with_words, lambda fps: accept(near_links(fps, radius, blocks, kept)))
+    first = with_words.join(parts, "fp").groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
     copies = durable(with_words.select(F.col("doc_id").alias("_copy")).distinct().join(first.select("doc_id"), F.col("_copy") == F.col("doc_id"), "left_anti"), "copies")
-    kept = docs.join(small_side(copies), docs["doc_id"] == F.col("_copy"), "left_anti")
+    kept_docs = docs.join(small_side(copies), docs["doc_id"] == F.col("_copy"), "left_anti")
     twice = durable(prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "repeats")
     if twice.isEmpty():
-        return kept
-    again = kept.join(small_side(twice), kept["doc_id"] == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(small_side(twice), kept["doc_id"] == F.col("_twice"), "left_anti").unionByName(again)
+        return kept_docs
+    again = kept_docs.join(small_side(twice), kept_docs["doc_id"] == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept_docs.join(small_side(twice), kept_docs["doc_id"] == F.col("_twice"), "left_anti").unionByName(again)

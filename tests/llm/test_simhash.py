@@ -79,16 +79,55 @@ def test_long_chain_of_components(spark):
     assert all(got[i] == 0 for i in range(201)) and got[501] == 500 and all(got[1000 + i] == 1000 for i in range(50)) and len(got) == 253
 
 
+@pytest.mark.parametrize("pairwise,most", [(48, 4), (3, 0)])
+def test_block_masks_link_all_within_the_radius(spark, pairwise, most, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    monkeypatch.setattr(simhash, "MOST_PAIRS", most)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rnd = random.Random(11)
+    base = [rnd.getrandbits(64) for _ in range(30)]
+    fps = sorted({b ^ sum(1 << i for i in rnd.sample(range(64), rnd.randrange(9))) for b in base for _ in range(12)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 7, 10, 3).collect()
+    assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 7 for r in got)
+
+    def parts(edges):
+        root = {f: f for f in signed}
+
+        def find(f):
+            while root[f] != f:
+                f = root[f]
+            return f
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        out = {}
+        for f in signed:
+            out.setdefault(find(f), set()).add(f)
+        return sorted(map(sorted, out.values()))
+
+    want = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 7]
+    assert parts([(r.a, r.b) for r in got]) == parts(want)
+
+
 def test_near_copies_are_dropped(spark):
     rnd = random.Random(1)
-    base = [[f"t{rnd.randrange(3000)}" for _ in range(400)] for _ in range(20)]
+    base = [[f"t{rnd.randrange(3000)}" for _ in range(n)] for n in [60, 120, 400, 900] * 10]
     rows = []
     for i, w in enumerate(base):
-        v = list(w)
-        v[rnd.randrange(400)] = "changed"
-        rows += [(i, " ".join(w)), (100 + i, " ".join(w)), (200 + i, " ".join(v))]
+        one, many = list(w), list(w)
+        one[rnd.randrange(len(w))] = "changed"
+        for k in range(0, len(w), 12):
+            many[k] = f"other{k}"
+        rows += [(i, " ".join(w)), (100 + i, " ".join(w)), (200 + i, " ".join(one)), (300 + i, " ".join(many)), (400 + i, " ".join(w[: len(w) // 2]))]
     kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    prints = {d: simhash.fingerprint(t.encode(), 5) & (1 << 64) - 1 for d, t in rows}
-    near = {200 + i for i in range(20) if (prints[i] ^ prints[200 + i]).bit_count() <= 5}
-    assert len(near) >= 14  # one changed word of 400 moves about three bits
-    assert kept == set(range(20)) | set(range(200, 220)) - near
+    assert kept >= set(range(40)) | set(range(300, 340)) | set(range(400, 440)) and not kept & set(range(100, 140))
+    assert len(kept & set(range(200, 240))) <= 6
+
+
+def test_similarity_of_sketches(spark):
+    rnd = random.Random(2)
+    sets = [(sorted(rnd.sample(range(500), rnd.randrange(1, 60))), sorted(rnd.sample(range(70), rnd.randrange(1, 60)))) for _ in range(50)] + [([1], [1]), ([], [1])]
+    df = spark.createDataFrame(sets, "x array<int>, y array<int>")
+    got = [r.s for r in df.select(simhash.similar(df.x, df.y, 200).alias("s")).collect()]
+    assert got == pytest.approx([len(set(x) & set(y)) / len(set(x) | set(y)) for x, y in sets])
