@@ -160,7 +160,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except SystemExit as e:
         return int(e.code or 0)
     logging.basicConfig(level=getattr(logging, args.log_level.upper(), logging.INFO), format="%(levelname)s %(message)s")
-    errors = [f"{name} must be >= 1" for name in ("producers", "consumers") if (getattr(args, name) or 1) < 1]
+    errors = [f"{name} must be >= 1" for name in ("producers", "consumers") if getattr(args, name) is not None and getattr(args, name) < 1]
     config = None
     try:
         config = parse_config(args.target, args.consumer, args.exclude, args.min_size, args.file_extensions, args.action, args.sort, args.order, args.hard_delete, args.min_size_recursive, args.baseline, args.growth_threshold, args.out)

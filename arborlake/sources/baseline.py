@@ -29,7 +29,7 @@ def read_baseline(spark: SparkSession, file: str) -> tuple[datetime, DataFrame]:
     if not head:
         raise ValueError(f"{file} has no line with its instant")
     parts = F.split("value", "\t", 3)
-    rows = lines.where(~F.col("value").startswith("# ")).select("at", "value", F.size(parts).alias("n"), parts.getItem(2).alias("folder"), F.expr("try_cast(split(value, '\t', 3)[0] as bigint)").alias("bytes"))
+    rows = lines.where(~F.col("value").startswith("# ")).select("at", "value", F.size(parts).alias("n"), F.get(parts, F.lit(2)).alias("folder"), F.get(parts, F.lit(0)).try_cast("long").alias("bytes"))
     bad = rows.where("n < 3 OR bytes IS NULL").limit(1).collect()
     if bad:
         raise ValueError(f"{file} has a malformed line: {bad[0].value!r}")
