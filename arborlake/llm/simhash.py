@@ -36,6 +36,12 @@ PAIRWISE = 48
 MOST_PAIRS = 4
 #: Fingerprints in a block of a dense bucket (radius over 2).
 BLOCK = 1024
+#: Groups of four bits, of 16, that the second signatures of candidates share: at a Jaccard similarity of 0.8 about 13, of unrelated texts one.
+LEAST_ALIKE = 5
+#: Bottom-sketch similarity under which a pair is clearly distant (a pair of 0.8 comes that low once in 10^12) and is not read again.
+DISTANT = 0.5
+#: Distinct shingles of all members of a candidate component that are held at once (a block; two blocks meet in a task).
+SETS = 1 << 20
 #: Hashes summed at once, which bounds memory for very long texts.
 _CHUNK = 1 << 16
 
@@ -114,43 +120,63 @@ def _balls(members: DataFrame, masks: list[int]) -> DataFrame:
     return dealt.join(meet, ["t", "c"]).where("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b"))
 
 
-def _star_forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Real links that connect whatever is connected among ``x``: at most one per member.
+def _spanning(n: int, first: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (two arrays of positions) that connect whatever ``near`` connects among ``n`` members: at most one per member.
 
-    The member nearest to the majority of each bit comes first: variants of one text lie around it, so most links are
-    to that text rather than between variants.
+    near: from a member and an array of others to which of them it is linked to.
     """
-    x = np.unique(x)
-    votes = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-    centre = np.packbits(votes * 2 > len(x), bitorder="little").view("<u8")[0]
-    hub = int(np.argmin(np.bitwise_count(x ^ centre)))
-    waiting, a, b = np.ones(len(x), bool), [], []
-    for start in [hub, *range(len(x))]:
+    waiting, a, b = np.ones(n, bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in [first, *range(n)] if n else []:
         if not waiting[start]:
             continue
         waiting[start] = False
         todo = [start]
         while todo:
             at = todo.pop()
-            near = np.flatnonzero(waiting & (np.bitwise_count(x ^ x[at]) <= radius))
-            waiting[near] = False
-            todo.extend(near.tolist())
-            a.append(np.full(len(near), x[at]))
-            b.append(x[near])
-    return (np.concatenate(a), np.concatenate(b)) if a else (x[:0], x[:0])
+            rest = np.flatnonzero(waiting)
+            if not len(rest):
+                break
+            found = rest[near(at, rest)]
+            waiting[found] = False
+            todo.extend(found.tolist())
+            a.append(np.full(len(found), at))
+            b.append(found)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _hub(x: np.ndarray) -> int:
+    """The member nearest to the majority of each bit: variants of one text lie around it, so most links are to that text."""
+    votes = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    centre = np.packbits(votes * 2 > len(x), bitorder="little").view("<u8")[0]
+    return int(np.argmin(np.bitwise_count(x ^ centre)))
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether at least LEAST_ALIKE of the 16 groups of four bits are equal."""
+    d = x ^ y
+    d = d | d >> np.uint64(1)
+    d = (d | d >> np.uint64(2)) & np.uint64(0x1111111111111111)
+    return np.bitwise_count(d) <= 16 - LEAST_ALIKE
+
+
+def _star_forest(x: np.ndarray, sig: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of candidate links that connect whatever candidates connect among ``x``: at most one per member."""
+    return _spanning(len(x), _hub(x), lambda at, rest: (np.bitwise_count(x[rest] ^ x[at]) <= radius) & _alike(sig[rest], sig[at]))
 
 
 def _blocks(members: DataFrame, radius: int) -> DataFrame:
-    """Links within dense buckets for any radius, by pairs of bounded blocks."""
+    """Links (a, b) between nodes of dense buckets (t, key, fp, sig, node, n) for any radius, by pairs of bounded blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        a, b = _star_forest(table.column("fp").to_numpy().astype("<u8"), radius)
-        return pa.table({"a": a.view("<i8"), "b": b.view("<i8")})
+        fp, sig = (table.column(c).to_numpy().astype("<u8") for c in ("fp", "sig"))
+        node = table.column("node").to_numpy()
+        a, b = _star_forest(fp, sig, radius)
+        return pa.table({"a": node[a], "b": node[b]})
 
     n = F.ceil(F.col("n") / BLOCK).cast("long")
-    own = members.select("t", "key", "fp", n.alias("n"), F.pmod(F.xxhash64("fp"), n).alias("i"))
-    dealt = own.select("t", "key", "fp", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    dealt = dealt.select("t", "key", "fp", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    own = members.select("t", "key", "fp", "sig", "node", n.alias("n"), F.pmod(F.xxhash64("node"), n).alias("i"))
+    dealt = own.select("t", "key", "fp", "sig", "node", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    dealt = dealt.select("t", "key", "fp", "sig", "node", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
     return dealt.groupBy("t", "key", "i", "j").applyInArrow(run, "a long, b long")
 
 
@@ -166,7 +192,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     twos = buckets.where("n = 2").where(_near(F.col("a"), F.col("b"), radius)).select("a", "b")
     members = durable(dealt.join(small_side(buckets.where("n > 2").select("t", "key", "n")), ["t", "key"]), "members")
     dense = members.where(F.col("n") > PAIRWISE)
-    dense = _balls(dense, masks) if radius == 2 else _blocks(dense, radius)
+    dense = _balls(dense, masks) if radius == 2 else _blocks(dense.withColumns({"sig": F.lit(0).cast("long"), "node": F.col("fp")}), radius)
     return twos.unionAll(_pairs(members.where(F.col("n") <= PAIRWISE), radius)).unionAll(dense).distinct()
 
 
@@ -208,12 +234,13 @@ def block_masks(blocks: int, kept: int) -> list[int]:
 
 
 def _sweep(radius: int):
-    """Compares neighbours in partitions sorted by table and key: (dense, a, b) rows.
+    """Compares neighbours in partitions sorted by table and key: (kind, a, b) rows.
 
-    Links within buckets of up to PAIRWISE fingerprints have dense 0; a larger bucket gives one row (1, table, key).
+    Links within buckets of up to PAIRWISE members have kind 0, or 2 where they stand for more (a star forest); a larger
+    bucket gives one row (1, table, key).
     """
 
-    def emit(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def emit(t: np.ndarray, key: np.ndarray, fp: np.ndarray, sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])))) if len(t) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(t)))
         big = start[size > PAIRWISE]
@@ -221,9 +248,9 @@ def _sweep(radius: int):
         left = np.repeat(start + size, size) - at - 1  # members after this one
         at = at[np.repeat(size <= PAIRWISE, size) & (left > 0)]
         a, b, shift = [at[:0]], [at[:0]], 1
-        x = fp.astype("<u8")
+        x, s = fp.astype("<u8"), sig.astype("<u8")
         while len(at):
-            near = at[np.bitwise_count(x[at] ^ x[at + shift]) <= radius]
+            near = at[(np.bitwise_count(x[at] ^ x[at + shift]) <= radius) & _alike(s[at], s[at + shift])]
             a.append(near)
             b.append(near + shift)
             shift += 1
@@ -232,14 +259,15 @@ def _sweep(radius: int):
         # buckets in which nearly all are near all others give a star forest instead of pairs
         bucket = np.searchsorted(start, a, side="right") - 1
         many = np.flatnonzero(np.bincount(bucket, minlength=len(start)) > MOST_PAIRS * size)
-        stars = [_star_forest(x[start[i] : start[i] + size[i]], radius) for i in many]
+        stars = [tuple(p + start[i] for p in _star_forest(x[start[i] : start[i] + size[i]], s[start[i] : start[i] + size[i]], radius)) for i in many]
         few = ~np.isin(bucket, many)
-        a = np.concatenate([fp[a[few]], *(p.view("<i8") for p, _ in stars), t[big].astype(np.int64)])
-        b = np.concatenate([fp[b[few]], *(q.view("<i8") for _, q in stars), key[big]])
-        return pa.RecordBatch.from_pydict({"dense": pa.array([0] * (len(a) - len(big)) + [1] * len(big), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        kind = np.repeat([0, 2, 1], [few.sum(), sum(len(p) for p, _ in stars), len(big)])
+        a = np.concatenate([node[a[few]], *(node[p] for p, _ in stars), t[big].astype(np.int64)])
+        b = np.concatenate([node[b[few]], *(node[q] for _, q in stars), key[big]])
+        return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        rest = [np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 4]
         for batch in batches:
             cols = [np.concatenate((old, batch.column(i).to_numpy())) for i, old in enumerate(rest)]
             if not len(cols[0]):
@@ -253,36 +281,63 @@ def _sweep(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int, blocks: int, kept: int) -> DataFrame:
-    """(a, b): links of up to ``radius`` bits that agree under a block mask; all of those within ``blocks - kept`` bits.
+def _candidates(fps: DataFrame, radius: int, blocks: int, kept: int) -> DataFrame:
+    """(a, b, star): pairs of nodes whose fingerprints agree under a block mask, differ in up to ``radius`` bits and have
+    second signatures that are alike. Buckets with many such pairs give a star forest (star) that connects the same nodes.
 
-    One shuffle deals every fingerprint to its tables. Buckets of more than PAIRWISE fingerprints are named, not
-    compared, and then dealt in blocks to many tasks.
+    fps: node (default fp), fp, sig (default 0), a row per node. One shuffle deals every node to its tables. Buckets of more
+    than PAIRWISE members are named, not compared, and then dealt in blocks to many tasks.
     """
-    masks = block_masks(blocks, kept)
-    dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key")).select("t", "key", "fp")
+    masks = F.array(*map(F.lit, block_masks(blocks, kept)))
+    node = F.col("node" if "node" in fps.columns else "fp")
+    sig = F.col("sig") if "sig" in fps.columns else F.lit(0).cast("long")
+    key = F.col("fp").bitwiseAND(F.get(masks, F.col("t")))
+    dealt = fps.select(node.alias("node"), "fp", sig.alias("sig"), F.explode(F.sequence(F.lit(0), F.size(masks) - 1)).alias("t"))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    swept = durable(dealt.repartition(n, "t", "key").sortWithinPartitions("t", "key").mapInArrow(_sweep(radius), "dense int, a long, b long"), "swept")
-    named = swept.where("dense = 1").select(F.col("a").cast("int").alias("dt"), F.col("b").alias("dk")).distinct()
-    members = durable(dealt.join(small_side(durable(named, "dense")), (F.col("t") == F.col("dt")) & (F.col("key") == F.col("dk"))).select("t", "key", "fp"), "members")
+    cols = ["t", key.alias("key"), "fp", "sig", "node"]
+    swept = durable(dealt.repartition(n, F.col("t"), key).select(*cols).sortWithinPartitions("t", "key").mapInArrow(_sweep(radius), "kind int, a long, b long"), "swept")
+    named = swept.where("kind = 1").select(F.col("a").cast("int").alias("dt"), F.col("b").alias("dk")).distinct()
+    members = durable(dealt.select(*cols).join(small_side(durable(named, "dense")), (F.col("t") == F.col("dt")) & (F.col("key") == F.col("dk"))).select("t", "key", "fp", "sig", "node"), "members")
     sizes = durable(members.groupBy("t", "key").agg(F.count("*").alias("n")), "sizes")
-    dense = _blocks(members.join(small_side(sizes), ["t", "key"]), radius)
-    return swept.where("dense = 0").select("a", "b").unionAll(dense).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    dense = _blocks(members.join(small_side(sizes), ["t", "key"]), radius).withColumn("star", F.lit(True))
+    found = swept.where("kind <> 1").select("a", "b", (F.col("kind") == 2).alias("star")).unionAll(dense)
+    return found.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
+
+
+def near_links(fps: DataFrame, radius: int, blocks: int, kept: int) -> DataFrame:
+    """(a, b): links of up to ``radius`` bits that agree under a block mask and connect all of those within ``blocks - kept`` bits."""
+    return _candidates(fps, radius, blocks, kept).select("a", "b")
+
+
+def _signature(u: np.ndarray) -> int:
+    """Four bits of the smallest hash of each of 16 classes of hashes (``u``: distinct, ascending), as a signed integer."""
+    first = u[:1024]
+    classes, at = np.unique(first & np.uint64(15), return_index=True)
+    code = (first[at] >> np.uint64(4) & np.uint64(15)) << (classes * np.uint64(4))
+    return int(np.bitwise_or.reduce(code, initial=np.uint64(0)).view("<i8"))
+
+
+def _node(u: np.ndarray) -> int:
+    """A digest of a set of hashes, as a signed integer."""
+    return int(np.uint64(xxhash.xxh64_intdigest(u.tobytes(), 7)).view("<i8"))
 
 
 def _sketches(docs: DataFrame, shingle: int, size: int) -> DataFrame:
-    """(doc_id, fp, sketch): fingerprint and the smallest distinct shingle hashes of every row, ``size`` at most."""
+    """(doc_id, fp, node, n, sig, sketch): fingerprint, digest and size of the set of shingles, second signature, and the
+    smallest distinct shingle hashes of every row, ``size`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
             for text in b.column(1):
                 h = _hashes(space_words(text.as_py()), shingle)
-                out.append((_majority(h), np.unique((h >> np.uint64(33)).astype(np.int32))[:size]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32()))], ["doc_id", "fp", "sketch"])
+                u = np.unique(h)
+                out.append((_majority(h), _node(u), len(u), _signature(u), np.unique((u[: 2 * size] >> np.uint64(33)).astype(np.int32))[:size]))
+            cols = [pa.array([x[i] for x in out], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([x[4] for x in out], pa.list_(pa.int32()))], ["doc_id", "fp", "node", "n", "sig", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, sketch array<int>")
+    return rows.mapInArrow(run, "doc_id long, fp long, node long, n long, sig long, sketch array<int>")
 
 
 def similar(x, y, size: int):
@@ -291,29 +346,81 @@ def similar(x, y, size: int):
     return F.size(F.array_intersect(both, F.array_intersect(x, y))) / F.greatest(F.size(both), F.lit(1))
 
 
+def _verified(docs: DataFrame, members: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """(a, b): nodes of one component that are within ``radius`` bits and whose sets of shingles have the Jaccard similarity.
+
+    members: first (a doc_id with that text), node, fp, root, k (blocks of the component). The links of a component, or of each
+    pair of its blocks, connect all that such pairs connect. Only the texts of members are read again.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [np.unique(_hashes(space_words(t.as_py()), shingle)) for t in b.column(4)]
+            same = pa.array([_node(u) == n for u, n in zip(found, b.column(0).to_pylist(), strict=True)], pa.bool_())
+            cols = [*(b.column(i) for i in range(4)), pa.array([u.tobytes() for u in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "fp", "root", "k", "shingles"]).filter(same)
+
+    def run(table: pa.Table) -> pa.Table:
+        node, at = np.unique(table.column("node").to_numpy(), return_index=True)
+        x = table.column("fp").to_numpy().astype("<u8")[at]
+        held = table.column("shingles")
+        held = [np.frombuffer(held[i].as_buffer(), "<u8") for i in at.tolist()]
+        n = np.array([len(u) for u in held])
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            hit = (np.bitwise_count(x[rest] ^ x[i]) <= radius) & (np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]))
+            some = rest[hit]
+            if len(some):
+                every = np.concatenate([held[j] for j in some])
+                both = held[i][np.minimum(np.searchsorted(held[i], every), n[i] - 1)] == every
+                both = np.add.reduceat(both, np.concatenate(([0], np.cumsum(n[some])[:-1])), dtype=np.int64)
+                hit[hit] = both >= similarity * (n[some] + n[i] - both)
+            return hit
+
+        a, b = _spanning(len(x), _hub(x), near)
+        return pa.table({"a": node[a], "b": node[b]})
+
+    text = docs.select(F.col("doc_id").cast("long").alias("first"), utf8(F.col("text")).alias("text"))
+    text = text.join(small_side(members), "first").select("node", "fp", "root", "k", "text")
+    own = text.mapInArrow(sets, "node long, fp long, root long, k long, shingles binary").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
+    dealt = own.select("root", "node", "fp", "shingles", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
+    dealt = dealt.select("root", "node", "fp", "shingles", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    return dealt.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 14, blocks: int = 10, kept: int = 3, sketch: int = 128) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
 
     Fingerprints that agree under one of the block masks (certain within ``blocks - kept`` bits, likely beyond) and differ
-    in ``radius`` bits at most are candidates: a similarity of 0.8 moves about ten bits of 64. A candidate counts if the
-    Jaccard similarity of both documents' distinct shingles is ``similarity`` or more: exact for up to ``sketch``
-    shingles, by bottom sketches of that size beyond. Equal fingerprints are one document. Of rows
+    in ``radius`` bits at most are candidates: a similarity of 0.8 moves about ten bits of 64. Bottom sketches of ``sketch``
+    hashes only discard pairs that are clearly distant. Whatever candidates connect is then compared by all distinct shingles:
+    two documents are linked if they are within ``radius`` bits and the Jaccard similarity is ``similarity`` or more, however
+    their fingerprints came to agree. Equal sets of shingles are one document. Of rows
     that repeat both doc_id and text one stays. Documents without words and those with a null doc_id are kept. All
     columns are kept, whatever their names.
     """
     prints = durable(_sketches(docs, shingle, sketch), "simhash")
-
-    def accept(found: DataFrame) -> DataFrame:
-        found = durable(found, "links")
-        ends = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        one = prints.join(small_side(durable(ends, "ends")), "fp").groupBy("fp").agg(F.min("sketch").alias("sketch"))
+    with_words = prints.where("doc_id IS NOT NULL AND n > 0")
+
+    def find(_: DataFrame) -> DataFrame:
+        nodes = durable(with_words.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("sig").alias("sig"), F.min("n").alias("n")), "nodes")
+        found = durable(_candidates(nodes.select("node", "fp", "sig"), radius, blocks, kept), "links")
+        pairs = found.where("NOT star")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        one = prints.join(small_side(durable(ends, "ends")), "node").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
         one = durable(one, "sketches")
-        both = found.join(one.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
-        return both.where(similar(F.col("x"), F.col("y"), sketch) >= similarity).select("a", "b")
-
-    with_words = prints.where("doc_id IS NOT NULL AND size(sketch) > 0").select("doc_id", "fp")
-    parts = groups(with_words, lambda fps: accept(near_links(fps, radius, blocks, kept)))
-    first = with_words.join(parts, "fp").groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
+        both = pairs.join(one.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x")), "a")
+        both = both.join(one.select(F.col("node").alias("b"), "n", F.col("sketch").alias("y")), "b")
+        near = both.where((F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n")) & (similar(F.col("x"), F.col("y"), sketch) >= min(DISTANT, similarity)))
+        parts = durable(connected_components(near.select("a", "b").unionAll(found.where("star").select("a", "b"))), "parts")
+        members = durable(nodes.join(parts, "node").select("first", "node", "fp", "n", "root"), "candidates")
+        many = durable(members.groupBy("root").agg(F.ceil(F.sum("n") / SETS).cast("long").alias("k")), "components")
+        members = durable(members.join(small_side(many), "root").select("first", "node", "fp", "root", "k"), "members")
+        return _verified(docs, members, shingle, similarity, radius)
+
+    with_words = with_words.select("doc_id", "node", "fp", "sig", "n")
+    parts = groups(with_words.select("doc_id", F.col("node").alias("fp")), find).withColumnRenamed("fp", "node")
+    first = with_words.join(parts, "node").groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
     copies = durable(with_words.select(F.col("doc_id").alias("_copy")).distinct().join(first.select("doc_id"), F.col("_copy") == F.col("doc_id"), "left_anti"), "copies")
     kept_docs = docs.join(small_side(copies), docs["doc_id"] == F.col("_copy"), "left_anti")
     twice = durable(prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "repeats")

@@ -131,3 +131,42 @@ def test_similarity_of_sketches(spark):
     df = spark.createDataFrame(sets, "x array<int>, y array<int>")
     got = [r.s for r in df.select(simhash.similar(df.x, df.y, 200).alias("s")).collect()]
     assert got == pytest.approx([len(set(x) & set(y)) / len(set(x) | set(y)) for x, y in sets])
+
+
+def kept_by_definition(rows):
+    """Ids kept if documents within 14 bits and of a similarity of 0.8 are linked, on (doc_id, text)."""
+    prints = [simhash.fingerprint(t.encode(), 5) & (1 << 64) - 1 for _, t in rows]
+    sets = [set(simhash._shingles(simhash.space_words(t.encode()), 5)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 14 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return set(least.values())
+
+
+def kept_ids(spark, rows):
+    return {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_partners_in_crowded_buckets_are_found(spark):
+    rnd = random.Random(4)
+    base, rows = [f"t{rnd.randrange(3000)}" for _ in range(250)], []
+    for i in range(60):
+        one = list(base)
+        at = rnd.randrange(220)
+        one[at : at + 30] = [f"own{i}_{k}" for k in range(30)]
+        two = list(one)
+        two[(at + 100) % 250] = "changed"
+        rows += [(i, " ".join(one)), (100 + i, " ".join(two))]
+    want = kept_by_definition(rows)
+    assert len(want) > 40 and kept_ids(spark, rows) == want
