@@ -170,3 +170,16 @@ def test_partners_in_crowded_buckets_are_found(spark):
         rows += [(i, " ".join(one)), (100 + i, " ".join(two))]
     want = kept_by_definition(rows)
     assert len(want) > 40 and kept_ids(spark, rows) == want
+
+
+def test_similarity_of_long_texts_is_exact(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(60):
+        w = [f"t{i}_{rnd.randrange(3000)}" for _ in range(600)]
+        run = rnd.randrange(56, 76)  # of 596 shingles, so a similarity from 0.77 to 0.82
+        rows += [(i, " ".join(w)), (100 + i, " ".join(w[: 300 - run] + [f"own{i}_{k}" for k in range(run)] + w[300:]))]
+    want, close = kept_by_definition(rows), kept_ids(spark, rows)
+    prints = {d: simhash.fingerprint(t.encode(), 5) & (1 << 64) - 1 for d, t in rows}
+    near = {d for d in prints if (prints[d % 100] ^ prints[100 + d % 100]).bit_count() <= 7}
+    assert close >= want and {d for d in close ^ want} & near == set() and 5 < len(near) / 2
