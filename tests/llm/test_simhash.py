@@ -183,3 +183,11 @@ def test_similarity_of_long_texts_is_exact(spark):
     prints = {d: simhash.fingerprint(t.encode(), 5) & (1 << 64) - 1 for d, t in rows}
     near = {d for d in prints if (prints[d % 100] ^ prints[100 + d % 100]).bit_count() <= 7}
     assert close >= want and {d for d in close ^ want} & near == set() and 5 < len(near) / 2
+
+
+def test_equal_fingerprints_are_verified(spark):
+    rows = [(i, "- " * 400 + " ".join(f"own{i}_{k}" for k in range(150))) for i in range(60)]
+    rows += [(100 + i, rows[i][1].replace(f"own{i}_70 ", "changed ")) for i in range(60)]
+    assert len({simhash.fingerprint(t.encode(), 5) for _, t in rows}) == 1
+    want = kept_by_definition(rows)
+    assert want == set(range(60)) and kept_ids(spark, rows) == want
