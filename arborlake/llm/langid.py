@@ -12,6 +12,7 @@ P(language | page) is taken proportional to P(text | language) * P(declared | la
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,16 +78,29 @@ def markup_language(html: Column) -> Column:
     return primary(F.regexp_extract(html, r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""", 1))
 
 
-def training_sample(docs: DataFrame, text: str, declared: Column, rows: int = 4000, longest: int = 20_000) -> list[tuple[str, str]]:
-    """About ``rows`` (language, text) pairs of at most ``longest`` bytes each, twice as many at most.
+def training_sample(docs: DataFrame, text: str, declared: Column, rows: int = 4000, longest: int = 20_000, floor: int = 60) -> list[tuple[str, str]]:
+    """About ``rows`` (language, text) pairs, and about ``floor`` of each language that has as many, all of one that has fewer.
 
-    Rows are drawn where they are read, by a hash against the part wanted of all that qualify, so no task sends more
-    than its share to the driver.
+    Texts of at most ``longest`` bytes are drawn; a language with fewer than ``floor`` of those gives its longer texts too,
+    cut to that length. At most twice the number wanted is sent. Rows are drawn where they are read, by a hash against the part
+    wanted of their language, so no task sends more than its share to the driver.
     """
-    some = docs.select(primary(declared).alias("language"), F.col(text).alias("text")).where(F.col("language").isNotNull() & (F.octet_length("text") <= longest) & (F.trim("text") != ""))
-    part = min(1.0, rows / max(1, some.count()))
-    drawn = some.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) < int(part * (1 << 30)))
-    return [(r.language, r.text) for r in drawn.limit(2 * rows).collect()]
+    some = docs.select(primary(declared).alias("language"), F.col(text).alias("text")).where(F.col("language").isNotNull() & (F.trim("text") != ""))
+    short = F.octet_length("text") <= longest
+    counts = some.groupBy("language").agg(F.count("*").alias("n"), F.count_if(short).alias("short")).collect()
+    total = sum(r.short for r in counts)
+    parts, wanted = [], 0.0
+    for r in counts:
+        n = r.short if r.short >= floor else r.n
+        part = min(1.0, max(rows / max(1, total), floor / n))
+        parts.append((r.language, int(part * (1 << 30)), r.short < floor))
+        wanted += part * n
+    if not parts:
+        return []
+    parts = small_side(docs.sparkSession.createDataFrame(parts, "__of string, __part long, __long boolean"))
+    drawn = some.withColumn("__at", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30))).join(parts, F.col("language") == F.col("__of"))
+    drawn = drawn.where((F.col("__at") < F.col("__part")) & (short | F.col("__long"))).select("language", F.when(short, F.col("text")).otherwise(F.substring("text", 1, longest // 4)).alias("text"))
+    return [(r.language, r.text) for r in drawn.limit(2 * math.ceil(wanted)).collect()]
 
 
 def identify(docs: DataFrame, model: TextModel, declared: Column, host: Column, suffix: Column, text: str = "text", reliability: float = 0.9, strength: float = 10.0, temper: float = 0.3, least: float = 0.5) -> DataFrame:

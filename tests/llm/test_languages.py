@@ -52,3 +52,14 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert langid.document_languages(none).count() == 0
     assert langid.document_languages(spark.createDataFrame([(1, None, None, None, 0), (1, "a", None, None, 0)], none.schema)).count() == 2
+
+
+def test_rare_languages_have_a_class(spark):
+    rows = [(i, f"the and of that with this is number {i}", "en", "h") for i in range(12_000)]
+    rows += [(20_000 + i, f"och att det som en på är för av nummer {i}", "sv", "h") for i in range(12)]
+    rows += [(30_000 + i, "ja se on ei että oli hän mutta " * 1500 + str(i), "fi", "h") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sample = langid.training_sample(df, "text", F.col("lang"))
+    assert len(sample) < 9000 and langid.train(sample).languages == ("en", "fi", "sv", langid.NONE)
+    got = {r.doc_id: r for r in langid.document_languages(df).where("doc_id >= 20000").collect()}
+    assert all(r["__accepted"] and r["__language"] == ("sv" if d < 30_000 else "fi") for d, r in got.items()) and len(got) == 24
