@@ -170,8 +170,7 @@ def human_sizes(spark, d):
 
 
 def shell_quoting(spark, d):
-    text = F.substring("text", 1, 80)  # a short label of each document, as a file might be named
-    return read_table(spark, d, "documents").select("doc_id", shell_quote(text).alias("quoted"))
+    return read_table(spark, d, "documents").select("doc_id", shell_quote(F.col("text")).alias("quoted"))
 
 
 def emit_deletion(spark, d):

@@ -104,3 +104,12 @@ def test_boundaries():
     assert Boundaries.of(date(2024, 1, 7)).week == Boundaries.of(date(2024, 1, 7)).today  # a Sunday
     spring = Boundaries.of(date(2024, 3, 31), "Europe/Berlin")
     assert spring.tomorrow - spring.today == day - 3_600_000
+
+
+def test_whole_texts_are_quoted(spark, tmp_path):
+    from arborlake.plans import inventory
+
+    text = "x" * 100 + '"$HOME" `ls` \\ end' + "y" * 100
+    spark.createDataFrame([(1, text), (2, "$")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.quoted for r in inventory.shell_quoting(spark, str(tmp_path)).collect()}
+    assert got == {1: "x" * 100 + '\\"\\$HOME\\" \\`ls\\` \\\\ end' + "y" * 100, 2: "\\$"}
