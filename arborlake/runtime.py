@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and estimated bytes up to which a table may be broadcast; above either the same join runs with a shuffle.
@@ -18,14 +19,16 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop)
-    a temporary folder of this process is made and set as the checkpoint folder.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master without that setting (tests, a laptop)
+    gets a temporary folder of this process, set as the checkpoint folder; elsewhere its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
         root = root.rsplit("/", 1)[0] if root else None
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="arborlake-")
         spark.sparkContext.setCheckpointDir(root)
         atexit.register(shutil.rmtree, root, ignore_errors=True)
@@ -60,6 +63,30 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, rows) else df
 
 
+#: Keys that :func:`spread_join` treats apart, at most: those with over this part of all rows.
+HOT_KEYS = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (a row per key) on ``key``, no task getting all rows of a hot key.
+
+    counts: (key, n), the number of left rows of each key, a durable table. Keys with over a thousandth of all rows
+    are HOT_KEYS at most, which bounds what is broadcast: each with the number of parts it is dealt in. Left rows
+    choose a part by the hash of ``by``; right rows are repeated for each part.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(1, -(-total // HOT_KEYS))
+    hot = counts.where(F.col("n") > share).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / share).cast("long").alias("__parts"))
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)
+    dealt = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")), F.lit(0)))
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__parts"), F.lit(1)) - 1)
+    spread = right.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.explode(copies))
+    joined = dealt.drop("__hot", "__parts").join(spread.drop("__hot", "__parts"), [key, "__part"], how)
+    return joined.drop("__part")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
