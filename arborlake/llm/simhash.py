@@ -16,6 +16,7 @@ which returns only a spanning star forest of its real links.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.components import connected_components
-from arborlake.llm.text import slices, space_words, utf8
-from arborlake.runtime import durable, small_side
+from arborlake.llm.text import positional, slices, space_words, utf8
+from arborlake.runtime import durable, small_side, spread_join
 
 BITS = 64
 #: Buckets of up to this many distinct fingerprints are compared pair by pair.
@@ -37,44 +38,72 @@ MOST_PAIRS = 4
 #: Fingerprints in a block of a dense bucket (radius over 2).
 BLOCK = 1024
 #: Groups of four bits, of 16, that the second signatures of candidates share: at a Jaccard similarity of 0.8 about 13, of unrelated texts one.
-LEAST_ALIKE = 5
+LEAST_ALIKE = 7
 #: Bottom-sketch similarity under which a pair is clearly distant (a pair of 0.8 comes that low once in 10^12) and is not read again.
 DISTANT = 0.5
 #: Distinct shingles of all members of a candidate component that are held at once (a block; two blocks meet in a task).
 SETS = 1 << 20
-#: Hashes summed at once, which bounds memory for very long texts.
-_CHUNK = 1 << 16
+#: Hashes summed at once and bytes of text cut into words at once, which bounds memory for very long texts.
+_CHUNK, _PIECE = 1 << 16, 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _shingles(words: list[bytes], k: int) -> Iterator[bytes]:
-    """All k-word shingles in order, repeats included; fewer words: the whole sequence; none: nothing."""
-    if len(words) <= k:
-        return iter([b" ".join(words)] if words else [])
+    """All k-word shingles of ``k`` words or more, in order, repeats included."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-k])).tolist()
     return (joined[s:e] for s, e in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True))
 
 
-def _hashes(words: list[bytes], k: int) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(s, 42) for s in _shingles(words, k)], dtype="<u8")
+def hashes(text: bytes, k: int) -> Iterator[np.ndarray]:
+    """The hashes of all k-word shingles in order, repeats included; fewer words: of the whole sequence; none: nothing.
 
-
-def _majority(h: np.ndarray) -> int:
-    """The bits set in over half of the hashes, as a signed integer; zero for none."""
-    if not len(h):
-        return 0
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), _CHUNK):
-        part = h[at : at + _CHUNK]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+    The text is cut into pieces at white space, so only one piece's words are held at once.
+    """
+    digest, carry, at, short = xxhash.xxh64_intdigest, [], 0, True
+    while at < len(text):
+        cut = _SPACE.search(text, at + _PIECE)
+        end = cut.start() if cut else len(text)
+        words = carry + space_words(text[at:end])
+        at = end
+        if len(words) >= k:
+            yield np.array([digest(s, 42) for s in _shingles(words, k)], dtype="<u8")
+            short, words = False, words[len(words) - k + 1 :]
+        carry = words
+    if short and carry:
+        yield np.array([digest(b" ".join(carry), 42)], dtype="<u8")
+
+
+class Majority:
+    """Counts, for each bit, the hashes that have it."""
+
+    def __init__(self):
+        self.ones, self.n = np.zeros(BITS, np.int64), 0
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        for at in range(0, len(h), _CHUNK):
+            part = h[at : at + _CHUNK]
+            self.ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        self.n += len(h)
+        return h
+
+    def bits(self) -> int:
+        """The bits set in over half of the hashes, as a signed integer; zero for none."""
+        return int(np.packbits(self.ones * 2 > self.n, bitorder="little").view("<i8")[0])
 
 
 def fingerprint(text: bytes, k: int) -> int:
     """The fingerprint as a signed 64-bit integer."""
-    return _majority(_hashes(space_words(text), k))
+    votes = Majority()
+    for h in hashes(text, k):
+        votes.add(h)
+    return votes.bits()
+
+
+def _distinct(text: bytes, k: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *hashes(text, k)]))
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,18 +225,19 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return twos.unionAll(_pairs(members.where(F.col("n") <= PAIRWISE), radius)).unionAll(dense).distinct()
 
 
-def groups(prints: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint in ``prints`` (doc_id, fp; best a durable table).
-
-    find: from a table of the distinct fp to links (a, b) between them.
+def named_components(nodes: DataFrame, links_: DataFrame) -> DataFrame:
+    """(node, component_id) for every row of ``nodes`` (node, first; a row per node, a durable table).
 
-    component_id is the smallest non-null doc_id of all documents reachable over links; null if none has one.
+    component_id is the smallest non-null ``first`` of all nodes reachable over ``links_`` (a, b); null if none has one.
+    The nodes of a component, however many, meet its name by :func:`spread_join`.
     """
-    fps = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    roots = durable(connected_components(find(fps.select("fp"))), "roots")
-    linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    least = linked.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
-    return linked.join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    roots = durable(connected_components(links_), "roots")
+    linked = nodes.join(roots, "node").select("node", "root", "first")
+    parts = durable(linked.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")), "parts")
+    named = spread_join(linked.select("node", "root"), parts.select("root", "least"), "root", parts.select("root", "n"), F.col("node"))
+    named = named.select("node", F.col("least").alias("component_id"))
+    alone = nodes.join(roots, "node", "left_anti").select("node", F.col("first").alias("component_id"))
+    return named.unionAll(alone)
 
 
 def simhash_components(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
@@ -218,8 +248,11 @@ def simhash_components(docs: DataFrame, shingle: int = 5, radius: int = 2) -> Da
     empty table an empty one; other columns are ignored.
     """
     prints = durable(fingerprints(docs, shingle), "simhash")
-    out = prints.join(groups(prints, lambda fps: links(fps, radius)), "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = durable(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
+    named = named_components(nodes, links(nodes.select(F.col("node").alias("fp")), radius))
+    rows = prints.withColumnRenamed("fp", "node")
+    out = spread_join(rows, named, "node", nodes.select("node", "n"), F.col("doc_id"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def block_masks(blocks: int, kept: int) -> list[int]:
@@ -322,22 +355,23 @@ def _node(u: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(u.tobytes(), 7)).view("<i8"))
 
 
-def _sketches(docs: DataFrame, shingle: int, size: int) -> DataFrame:
-    """(doc_id, fp, node, n, sig, sketch): fingerprint, digest and size of the set of shingles, second signature, and the
-    smallest distinct shingle hashes of every row, ``size`` at most."""
+def _sketches(rows: DataFrame, shingle: int, size: int) -> DataFrame:
+    """(doc_id, h, fp, node, n, sig, sketch) of each (doc_id, h, text): fingerprint, digest and size of the set of shingles,
+    second signature, and the smallest distinct shingle hashes, ``size`` at most."""
+    fields = {"doc_id": pa.int64(), "h": pa.int64(), "fp": pa.int64(), "node": pa.int64(), "n": pa.int64(), "sig": pa.int64(), "sketch": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
-            for text in b.column(1):
-                h = _hashes(space_words(text.as_py()), shingle)
-                u = np.unique(h)
-                out.append((_majority(h), _node(u), len(u), _signature(u), np.unique((u[: 2 * size] >> np.uint64(33)).astype(np.int32))[:size]))
-            cols = [pa.array([x[i] for x in out], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([x[4] for x in out], pa.list_(pa.int32()))], ["doc_id", "fp", "node", "n", "sig", "sketch"])
+            for text in b.column(2):
+                votes = Majority()
+                u = np.unique(np.concatenate([np.zeros(0, "<u8"), *map(votes.add, hashes(text.as_py(), shingle))]))
+                least = np.unique((u[: 2 * size] >> np.uint64(33)).astype(np.int32))[:size]
+                out.append((votes.bits(), _node(u), len(u), _signature(u), least))
+            made = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(list(fields.values())[2:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], list(fields))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, node long, n long, sig long, sketch array<int>")
+    return rows.mapInArrow(run, "doc_id long, h long, fp long, node long, n long, sig long, sketch array<int>")
 
 
 def similar(x, y, size: int):
@@ -346,7 +380,7 @@ def similar(x, y, size: int):
     return F.size(F.array_intersect(both, F.array_intersect(x, y))) / F.greatest(F.size(both), F.lit(1))
 
 
-def _verified(docs: DataFrame, members: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+def _verified(rows: DataFrame, members: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
     """(a, b): nodes of one component that are within ``radius`` bits and whose sets of shingles have the Jaccard similarity.
 
     members: first (a doc_id with that text), node, fp, root, k (blocks of the component). The links of a component, or of each
@@ -355,7 +389,7 @@ def _verified(docs: DataFrame, members: DataFrame, shingle: int, similarity: flo
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [np.unique(_hashes(space_words(t.as_py()), shingle)) for t in b.column(4)]
+            found = [_distinct(t.as_py(), shingle) for t in b.column(4)]
             same = pa.array([_node(u) == n for u, n in zip(found, b.column(0).to_pylist(), strict=True)], pa.bool_())
             cols = [*(b.column(i) for i in range(4)), pa.array([u.tobytes() for u in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["node", "fp", "root", "k", "shingles"]).filter(same)
@@ -380,51 +414,62 @@ def _verified(docs: DataFrame, members: DataFrame, shingle: int, similarity: flo
         a, b = _spanning(len(x), _hub(x), near)
         return pa.table({"a": node[a], "b": node[b]})
 
-    text = docs.select(F.col("doc_id").cast("long").alias("first"), utf8(F.col("text")).alias("text"))
-    text = text.join(small_side(members), "first").select("node", "fp", "root", "k", "text")
+    text = rows.select(F.col("doc_id").alias("first"), "text").join(small_side(members), "first").select("node", "fp", "root", "k", "text")
     own = text.mapInArrow(sets, "node long, fp long, root long, k long, shingles binary").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
     dealt = own.select("root", "node", "fp", "shingles", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
     dealt = dealt.select("root", "node", "fp", "shingles", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
     return dealt.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 14, blocks: int = 10, kept: int = 3, sketch: int = 128) -> DataFrame:
+def _near_links(prints: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float, radius: int, blocks: int, kept: int, sketch: int) -> DataFrame:
+    """(a, b): verified links between nodes, which connect all that candidates with the similarity connect."""
+    found = durable(_candidates(nodes.select("node", "fp", "sig"), radius, blocks, kept), "links")
+    pairs = found.where("NOT star")
+    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    one = prints.join(small_side(ends), "node").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    one = durable(one, "sketches")
+    both = pairs.join(one.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x")), "a")
+    both = both.join(one.select(F.col("node").alias("b"), "n", F.col("sketch").alias("y")), "b")
+    like_sizes = F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n")
+    near = both.where(like_sizes & (similar(F.col("x"), F.col("y"), sketch) >= min(DISTANT, similarity)))
+    parts = connected_components(near.select("a", "b").unionAll(found.where("star").select("a", "b")))
+    members = durable(nodes.join(durable(parts, "parts"), "node").select("first", "node", "fp", "n", "root"), "candidates")
+    many = durable(members.groupBy("root").agg(F.ceil(F.sum("n") / SETS).cast("long").alias("k"), F.count("*").alias("m")), "components")
+    members = spread_join(members.drop("n"), many.select("root", "k"), "root", many.select("root", F.col("m").alias("n")), F.col("node"))
+    return _verified(rows, durable(members.select("first", "node", "fp", "root", "k"), "members"), shingle, similarity, radius)
+
+
+def drop_near_duplicates(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 14, blocks: int = 12, kept: int = 3, sketch: int = 128
+) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
 
     Fingerprints that agree under one of the block masks (certain within ``blocks - kept`` bits, likely beyond) and differ
     in ``radius`` bits at most are candidates: a similarity of 0.8 moves about ten bits of 64. Bottom sketches of ``sketch``
     hashes only discard pairs that are clearly distant. Whatever candidates connect is then compared by all distinct shingles:
     two documents are linked if they are within ``radius`` bits and the Jaccard similarity is ``similarity`` or more, however
-    their fingerprints came to agree. Equal sets of shingles are one document. Of rows
-    that repeat both doc_id and text one stays. Documents without words and those with a null doc_id are kept. All
-    columns are kept, whatever their names.
+    their fingerprints came to agree. Equal sets of shingles are one document. Of rows that repeat both doc_id and text one
+    stays. Documents without words and those with a null doc_id are kept. Null texts have no words. An empty table gives an
+    empty one. All columns are kept, whatever their names (doc_id and text must be there).
     """
-    prints = durable(_sketches(docs, shingle, sketch), "simhash")
+    key, body = docs.columns.index("doc_id"), docs.columns.index("text")
+    plain, names = positional(docs)
+    doc_id, text = F.col(names[key]).cast("long"), F.col(names[body])
+    rows = plain.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), utf8(text).alias("text"))
+    prints = durable(_sketches(rows, shingle, sketch), "simhash")
     with_words = prints.where("doc_id IS NOT NULL AND n > 0")
-
-    def find(_: DataFrame) -> DataFrame:
-        nodes = durable(with_words.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("sig").alias("sig"), F.min("n").alias("n")), "nodes")
-        found = durable(_candidates(nodes.select("node", "fp", "sig"), radius, blocks, kept), "links")
-        pairs = found.where("NOT star")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        one = prints.join(small_side(durable(ends, "ends")), "node").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-        one = durable(one, "sketches")
-        both = pairs.join(one.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x")), "a")
-        both = both.join(one.select(F.col("node").alias("b"), "n", F.col("sketch").alias("y")), "b")
-        near = both.where((F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n")) & (similar(F.col("x"), F.col("y"), sketch) >= min(DISTANT, similarity)))
-        parts = durable(connected_components(near.select("a", "b").unionAll(found.where("star").select("a", "b"))), "parts")
-        members = durable(nodes.join(parts, "node").select("first", "node", "fp", "n", "root"), "candidates")
-        many = durable(members.groupBy("root").agg(F.ceil(F.sum("n") / SETS).cast("long").alias("k")), "components")
-        members = durable(members.join(small_side(many), "root").select("first", "node", "fp", "root", "k"), "members")
-        return _verified(docs, members, shingle, similarity, radius)
-
-    with_words = with_words.select("doc_id", "node", "fp", "sig", "n")
-    parts = groups(with_words.select("doc_id", F.col("node").alias("fp")), find).withColumnRenamed("fp", "node")
-    first = with_words.join(parts, "node").groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
-    copies = durable(with_words.select(F.col("doc_id").alias("_copy")).distinct().join(first.select("doc_id"), F.col("_copy") == F.col("doc_id"), "left_anti"), "copies")
-    kept_docs = docs.join(small_side(copies), docs["doc_id"] == F.col("_copy"), "left_anti")
-    twice = durable(prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "repeats")
-    if twice.isEmpty():
-        return kept_docs
-    again = kept_docs.join(small_side(twice), kept_docs["doc_id"] == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept_docs.join(small_side(twice), kept_docs["doc_id"] == F.col("_twice"), "left_anti").unionByName(again)
+    # equal sets of shingles have equal fingerprints but for repeats; the least of each stands for the set
+    least = [F.min(c).alias(c) for c in ("fp", "sig", "n")]
+    nodes = durable(with_words.groupBy("node").agg(F.min("doc_id").alias("first"), *least, F.count("*").alias("rows")), "nodes")
+    links_ = durable(_near_links(prints, nodes, rows, shingle, similarity, radius, blocks, kept, sketch), "links")
+    named = named_components(nodes.select("node", "first"), links_)
+    every = spread_join(with_words.select("node", "doc_id", "h"), named, "node", nodes.select("node", F.col("rows").alias("n")), F.col("doc_id"))
+    copies = durable(every.where("doc_id <> component_id").select(F.col("doc_id").alias("copy"), F.col("h").alias("copy_h")).distinct(), "copies")
+    same = (doc_id == F.col("copy")) & (F.xxhash64(text) == F.col("copy_h"))
+    left = plain.join(small_side(copies), same, "left_anti")
+    twice = prints.where("doc_id IS NOT NULL").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
+    twice = durable(twice.select(F.col("doc_id").alias("copy"), F.col("h").alias("copy_h")), "repeats")
+    if not twice.isEmpty():
+        again = left.join(small_side(twice), same, "left_semi").dropDuplicates([names[key], names[body]])
+        left = left.join(small_side(twice), same, "left_anti").unionByName(again)
+    return left.toDF(*docs.columns)

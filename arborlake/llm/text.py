@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,16 +39,50 @@ def space_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``rows`` rows, which bounds what Python holds at once."""
+#: What this worker process remembers between tasks: one thing at a time, by its owner's name.
+_kept: dict[str, object] = {}
+
+
+def kept(owner: str, make: Callable[[], object]) -> object:
+    """What ``owner`` remembers in this process; whatever another owner remembered is forgotten."""
+    if owner not in _kept:
+        forget()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def forget() -> None:
+    """Drop what is remembered and give free memory back to the system: workers outlive the stages they serve."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only GNU's C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20, owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and about ``size`` bytes (one row at least), which bounds what Python
+    holds at once. Before the first and after the last, what others than ``owner`` remember is forgotten."""
+    if owner not in _kept:
+        forget()
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+        del batch
+    if owner not in _kept:
+        forget()
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, ... and these names; ``toDF`` with the caller's names puts those back. So no name
+    of a caller, with dots or like one used here, matters in between."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
 def arrow_columns(ddl: str, rows: list[tuple]) -> dict[str, pa.Array]:
     """The rows as Arrow columns of a schema such as ``"a long, b array<string>"``."""
     out = {}

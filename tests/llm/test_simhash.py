@@ -4,6 +4,8 @@ import pytest
 import xxhash
 
 from arborlake.llm import simhash
+from brute import components, shingles
+from brute import simhash as simhash_of
 from arborlake.llm.components import connected_components
 
 
@@ -133,24 +135,17 @@ def test_similarity_of_sketches(spark):
     assert got == pytest.approx([len(set(x) & set(y)) / len(set(x) | set(y)) for x, y in sets])
 
 
-def kept_by_definition(rows):
-    """Ids kept if documents within 14 bits and of a similarity of 0.8 are linked, on (doc_id, text)."""
-    prints = [simhash.fingerprint(t.encode(), 5) & (1 << 64) - 1 for _, t in rows]
-    sets = [set(simhash._shingles(simhash.space_words(t.encode()), 5)) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
+def kept_by_definition(rows, bits=14, k=5, similarity=0.8):
+    """Ids kept if documents within ``bits`` and of the similarity are linked, on (doc_id, text)."""
+    prints, sets = [simhash_of(t, k) for _, t in rows], [set(shingles(t, k)) for _, t in rows]
+    edges = []
     for i in range(len(rows)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 14 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                root[find(i)] = find(j)
+            if (prints[i] ^ prints[j]).bit_count() <= bits and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                edges.append((i, j))
     least = {}
-    for i, (d, _) in enumerate(rows):
-        least[find(i)] = min(d, least.get(find(i), d))
+    for i, part in components(range(len(rows)), edges).items():
+        least[part] = min(rows[i][0], least.get(part, rows[i][0]))
     return set(least.values())
 
 
@@ -180,7 +175,7 @@ def test_similarity_of_long_texts_is_exact(spark):
         run = rnd.randrange(56, 76)  # of 596 shingles, so a similarity from 0.77 to 0.82
         rows += [(i, " ".join(w)), (100 + i, " ".join(w[: 300 - run] + [f"own{i}_{k}" for k in range(run)] + w[300:]))]
     want, close = kept_by_definition(rows), kept_ids(spark, rows)
-    prints = {d: simhash.fingerprint(t.encode(), 5) & (1 << 64) - 1 for d, t in rows}
+    prints = {d: simhash_of(t, 5) for d, t in rows}
     near = {d for d in prints if (prints[d % 100] ^ prints[100 + d % 100]).bit_count() <= 7}
     assert close >= want and {d for d in close ^ want} & near == set() and 5 < len(near) / 2
 
@@ -191,3 +186,54 @@ def test_equal_fingerprints_are_verified(spark):
     assert len({simhash.fingerprint(t.encode(), 5) for _, t in rows}) == 1
     want = kept_by_definition(rows)
     assert want == set(range(60)) and kept_ids(spark, rows) == want
+
+
+def test_a_repeated_word_does_not_drop_other_texts(spark):
+    rows = [(1, "spam " * 100), (2, "spam " * 100 + " ".join(f"other{i}" for i in range(80)))]
+    assert kept_ids(spark, rows) == {1, 2}
+
+
+def test_chains_of_variants_in_one_bucket(spark):
+    """Each variant is near the one before, not near the first."""
+    rnd, rows = random.Random(12), []
+    for c in range(12):
+        w = [f"c{c}_{rnd.randrange(4000)}" for _ in range(600)]
+        for i in range(14):
+            rows.append((100 * c + i, " ".join(w)))
+            for at in rnd.sample(range(600), 7):
+                w[at] = f"new{c}_{i}_{at}"
+    want = kept_by_definition(rows)
+    assert kept_ids(spark, rows) == want and len(want) < 40
+
+
+def test_long_texts_are_hashed_in_pieces(spark, monkeypatch):
+    text = "\t Some WORDS\n" + "".join(f"w{i}{' ' * (1 + i % 3)}" for i in range(5000))
+    want = [simhash.fingerprint(text.encode(), k) for k in (1, 3, 5)]
+    for piece in (1, 7, 1000):
+        monkeypatch.setattr(simhash, "_PIECE", piece)
+        assert [simhash.fingerprint(text.encode(), k) for k in (1, 3, 5)] == want
+    monkeypatch.undo()
+    assert [w & (1 << 64) - 1 for w in want] == [simhash_of(text, k) for k in (1, 3, 5)]
+    long = "word another thing " * 500_000
+    got = {r.doc_id: r.fingerprint for r in simhash.simhash_components(spark.createDataFrame([(1, long), (2, "a")], "doc_id long, text string"), 3).collect()}
+    assert got[2] == f"{simhash_of('a', 3):016x}" and got[1] == f"{simhash_of('word another thing ' * 50_001, 3):016x}"
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_copy", "_twice", "copy", "copy_h", "node", "a.b", "c0", "n"]
+    rows = [(5, "a b c d e f", *range(8)), (2, "a b c d e f", *range(8)), (2, "a b c d e f", *range(8)), (None, None, *range(8)), (7, "", *range(8))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names[2:]))
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == names and sorted((tuple(r) for r in out.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+    assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_hot_fingerprints_and_components(spark):
+    rnd = random.Random(3)
+    rows = [(i, "same words in every copy of it") for i in range(900)]
+    rows += [(1000 + i, " ".join(f"t{rnd.randrange(9000)}" for _ in range(30))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in simhash.simhash_components(df, 3).collect()}
+    prints = {d: simhash_of(t, 3) for d, t in rows}
+    edges = [(a, b) for a in prints for b in prints if 1000 <= a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert len(got) == len(rows) and all(got[i] == 0 for i in range(900)) and all(got[a] == got[b] for a, b in edges)
