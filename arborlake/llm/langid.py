@@ -3,7 +3,7 @@
 P(language | page) is taken proportional to P(text | language) * P(declared | language) * P(language | host).
 
 - Text: a multinomial model of hashed byte trigrams, tempered because trigrams overlap, trained here on a bounded
-  sample of rows by their declared language. An extra class with equal trigram odds stands for no language.
+  sample of rows by their declared language, in two folds, each judged by the other's. An extra class with equal trigram odds stands for no language.
 - Declared: the markup's (or table's) language is right with a given reliability.
 - Host: what the texts of a host's other pages say, smoothed towards those of its address suffix, those towards all:
   (own + strength * parent) / (pages + strength). All counts are sums of text posteriors by grouped
@@ -13,22 +13,26 @@ P(language | page) is taken proportional to P(text | language) * P(declared | la
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.linededup import html_lines
-from arborlake.llm.text import slices
+from arborlake.llm.text import positional, slices
 from arborlake.llm.urlfilter import host_of
 from arborlake.runtime import durable, small_side
 
 NONE = "und"
 _BUCKETS = 1 << 16
 _PIECE = 1 << 20
+#: Posteriors are counted in whole numbers of this part, so that sums do not depend on the order of rows.
+_UNIT = 1 << 24
 
 
 def _trigrams(text: bytes) -> Iterator[np.ndarray]:
@@ -41,31 +45,46 @@ def _trigrams(text: bytes) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class TextModel:
-    """Languages (the last is NONE) and log odds of each trigram bucket, buckets x languages."""
+    """Languages (the last is NONE) and log odds of each trigram bucket: folds x buckets x languages.
+
+    A text is judged by the table that its own fold had no part in, so no row's label speaks through its own text.
+    """
 
     languages: tuple[str, ...]
-    table: np.ndarray
+    tables: np.ndarray
 
     def score(self, text: bytes) -> np.ndarray:
         total = np.zeros(len(self.languages))
         if text.strip():
+            table = self.tables[_fold(text)]
             for t in _trigrams(text):
-                total += self.table[t].sum(axis=0, dtype=np.float64)
+                total += table[t].sum(axis=0, dtype=np.float64)
         return total
 
 
+def _fold(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text, 11) & 1
+
+
 def train(rows: list[tuple[str, str]], least: int = 10) -> TextModel:
-    """A model from (language, text) rows; languages with fewer than ``least`` rows are left out."""
-    counts: dict[str, np.ndarray] = {}
-    seen: dict[str, int] = {}
+    """A model from (language, text) rows; languages with fewer than ``least`` rows are left out (none, if all have fewer).
+
+    The table for one fold is made of the rows of the other, or of all rows where a language has none there.
+    """
+    seen = Counter(language for language, _ in rows)
+    names = sorted(x for x in seen if seen[x] >= least) or sorted(x for x, _ in seen.most_common(least))
+    place = {x: i for i, x in enumerate(names)}
+    counts = np.zeros((2, len(names), _BUCKETS))
     for language, text in rows:
-        c = counts.setdefault(language, np.zeros(_BUCKETS))
-        seen[language] = seen.get(language, 0) + 1
-        for t in _trigrams(text.encode()):
-            c += np.bincount(t, minlength=_BUCKETS)
-    names = sorted(x for x in counts if seen[x] >= least) or sorted(counts)
-    table = [np.log((counts[x] + 0.1) / (counts[x].sum() + 0.1 * _BUCKETS)) for x in names]
-    return TextModel((*names, NONE), np.stack([*table, np.full(_BUCKETS, -np.log(_BUCKETS))], axis=1).astype(np.float32))
+        if language in place:
+            data = text.encode()
+            for t in _trigrams(data):
+                counts[1 - _fold(data), place[language]] += np.bincount(t, minlength=_BUCKETS)
+    alone = counts.sum(axis=2, keepdims=True) == 0
+    counts = np.where(alone, counts.sum(axis=0, keepdims=True), counts)
+    odds = np.log((counts + 0.1) / (counts.sum(axis=2, keepdims=True) + 0.1 * _BUCKETS))
+    none = np.full((2, 1, _BUCKETS), -np.log(_BUCKETS))
+    return TextModel((*names, NONE), np.concatenate([odds, none], axis=1).transpose(0, 2, 1).astype(np.float32))
 
 
 def primary(tag: Column) -> Column:
@@ -78,16 +97,22 @@ def markup_language(html: Column) -> Column:
     return primary(F.regexp_extract(html, r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""", 1))
 
 
-def training_sample(docs: DataFrame, text: str, declared: Column, rows: int = 4000, longest: int = 20_000, floor: int = 60) -> list[tuple[str, str]]:
-    """About ``rows`` (language, text) pairs, and about ``floor`` of each language that has as many, all of one that has fewer.
+def training_sample(
+    docs: DataFrame, text: Column, declared: Column, rows: int = 4000, longest: int = 20_000, floor: int = 60, tags: int = 200
+) -> list[tuple[str, str]]:
+    """About ``rows`` distinct (language, text) pairs, and about ``floor`` of each language that has as many, all of one that
+    has fewer; in all twice the number wanted at most.
 
-    Texts of at most ``longest`` bytes are drawn; a language with fewer than ``floor`` of those gives its longer texts too,
-    cut to that length. At most twice the number wanted is sent. Rows are drawn where they are read, by a hash against the part
-    wanted of their language, so no task sends more than its share to the driver.
+    Declared tags are free text, so only the ``tags`` most frequent ones count as languages (of equally frequent ones the
+    first by name). Texts of at most ``longest`` bytes are drawn; a language with fewer than ``floor`` of those gives its
+    longer texts too, cut to that length. Rows are drawn where they are read, by a hash of the text against the part wanted
+    of their language, so the sample is the same however rows are partitioned.
     """
-    some = docs.select(primary(declared).alias("language"), F.col(text).alias("text")).where(F.col("language").isNotNull() & (F.trim("text") != ""))
+    some = docs.select(primary(declared).alias("language"), text.alias("text"))
+    some = some.where(F.col("language").isNotNull() & (F.trim("text") != ""))
     short = F.octet_length("text") <= longest
-    counts = some.groupBy("language").agg(F.count("*").alias("n"), F.count_if(short).alias("short")).collect()
+    counts = some.groupBy("language").agg(F.count("*").alias("n"), F.count_if(short).alias("short"))
+    counts = counts.orderBy(F.desc("n"), "language").limit(tags).collect()
     total = sum(r.short for r in counts)
     parts, wanted = [], 0.0
     for r in counts:
@@ -97,79 +122,116 @@ def training_sample(docs: DataFrame, text: str, declared: Column, rows: int = 40
         wanted += part * n
     if not parts:
         return []
-    parts = small_side(docs.sparkSession.createDataFrame(parts, "__of string, __part long, __long boolean"))
-    drawn = some.withColumn("__at", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30))).join(parts, F.col("language") == F.col("__of"))
-    drawn = drawn.where((F.col("__at") < F.col("__part")) & (short | F.col("__long"))).select("language", F.when(short, F.col("text")).otherwise(F.substring("text", 1, longest // 4)).alias("text"))
-    return [(r.language, r.text) for r in drawn.limit(2 * math.ceil(wanted)).collect()]
+    parts = F.broadcast(docs.sparkSession.createDataFrame(parts, "of string, part long, long boolean"))
+    drawn = some.withColumn("at", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30))).join(parts, F.col("language") == F.col("of"))
+    drawn = drawn.where((F.col("at") < F.col("part")) & (short | F.col("long")))
+    cut = F.when(short, F.col("text")).otherwise(F.substring("text", 1, longest // 4))
+    drawn = drawn.select("at", "language", cut.alias("text")).distinct()
+    return [(r.language, r.text) for r in drawn.orderBy("at", "language", "text").limit(2 * math.ceil(wanted)).collect()]
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
 
+def _sums(counts: DataFrame, n: int, *by: str) -> DataFrame:
+    """``by``, n and c (an array of ``n`` sums) of hosts' counts. All are whole numbers, so their order does not matter."""
+    each = [F.sum(F.get("c", F.lit(i))) for i in range(n)]
+    return counts.groupBy(*by).agg(F.sum("n").alias("n"), F.array(*each).alias("c"))
 
-def identify(docs: DataFrame, model: TextModel, declared: Column, host: Column, suffix: Column, text: str = "text", reliability: float = 0.9, strength: float = 10.0, temper: float = 0.3, least: float = 0.5) -> DataFrame:
-    """``docs`` with four more columns: __language, __confidence, __declared, __accepted.
 
-    declared, host, suffix: columns over ``docs``; null is no evidence (null hosts share one prior). A row is
-    accepted if its likeliest language is one of the model's with at least ``least`` probability. Null and blank
-    texts are no evidence of a language: they get NONE and are not accepted, whatever is declared. Repeated rows
-    give repeated rows, an empty table an empty one; all columns of ``docs`` are kept, whatever their names.
+def _scored(rows: DataFrame, model: TextModel) -> DataFrame:
+    """``rows`` with their last column, a text, replaced by its log odds ``ll``."""
+    shared, keep = rows.sparkSession.sparkContext.broadcast(model), rows.columns[:-1]
+    schema = rows.select(*keep, F.array(F.lit(0.0)).alias("ll")).schema
 
-    Texts are scored where they are read, twice (for the priors and for the result), and are never shuffled while
-    the hosts' priors fit a broadcast, which is measured.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in slices(batches):
+            ll = [m.score((t.as_py() or "").encode()) for t in b.column(len(keep))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ll, pa.list_(pa.float64()))], [*keep, "ll"])
+
+    return rows.mapInArrow(run, schema)
+
+
+#: Names of the columns that :func:`identify` appends.
+FOUND = ("language", "confidence", "declared", "accepted")
+
+
+def identify(
+    docs: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, suffix: Column, keep: list[str] | None = None,
+    reliability: float = 0.9, strength: float = 10.0, temper: float = 0.3, least: float = 0.5,
+) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with four more columns at the end: language, confidence, declared, accepted.
+
+    text, declared, host, suffix: columns over ``docs``; null is no evidence (null hosts share one prior). A row is
+    accepted if its likeliest language is one of the model's with at least ``least`` probability; of equally likely ones the
+    first by name. Null and blank texts are no evidence of a language: they get NONE and are not accepted, whatever is declared.
+    Repeated rows give repeated rows, an empty table an empty one. Columns of ``docs`` may have any names; where one has the
+    name of an appended column, the result has both.
+
+    Texts are scored once, where they are read; what is kept of a row is written with its scores, then joined with the
+    priors of its host, by broadcast while these are measured to be small.
     """
-    names, n = docs.columns, len(model.languages)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("*", primary(declared).alias("__declared"), F.coalesce(host, F.lit("")).alias("__host"), F.coalesce(suffix, F.lit("")).alias("__suffix"))
-
-    def scored(df: DataFrame, keep: list[str]) -> DataFrame:
-        cols = df.select(*keep, F.col(text).alias("__text"))
-        schema = df.select(*keep, F.array(F.lit(0.0)).alias("__ll")).schema
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            for b in slices(batches):
-                ll = [m.score((t.as_py() or "").encode()) for t in b.column(len(keep))]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(ll, pa.list_(pa.float64()))], [*keep, "__ll"])
-
-        return cols.mapInArrow(run, schema)
-
-    blank = F.forall("__ll", lambda x: x == 0)
-    odds = F.transform("__ll", lambda x: F.exp((x - F.array_max("__ll")) * temper))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    own = F.when(blank, F.array_repeat(F.lit(0.0), n)).otherwise(F.transform(odds, lambda x: x / total(odds)))
-
-    pages = scored(rows, ["__host", "__suffix"]).select("__host", "__suffix", own.alias("p"))
-    by_host = durable(pages.groupBy("__host", "__suffix").agg(F.sum(F.aggregate("p", F.lit(0.0), lambda s, x: s + x)).alias("n"), F.array(*[F.sum(F.get("p", F.lit(i))) for i in range(n)]).alias("c")), "hosts")
-    sums = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("m"), F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(n)]).alias("k"))
-    root = sums(by_host).first()
-    root = [(x + 1.0) / (root.m + n) for x in root.k] if root.m is not None else [1.0 / n] * n
-    by_suffix = sums(by_host, "__suffix").select(F.col("__suffix").alias("__sf"), F.zip_with("k", F.array(*map(F.lit, root)), lambda x, r: (x + r * strength)).alias("k"), (F.col("m") + strength).alias("m"))
-    hosts = by_host.join(small_side(durable(by_suffix, "suffixes")), F.col("__suffix") == F.col("__sf"))
-    hosts = durable(hosts.select(F.col("__host").alias("__ph"), F.col("__suffix").alias("__ps"), F.col("n").alias("__n"), F.col("c").alias("__c"), F.transform("k", lambda x: x / F.col("m")).alias("__parent")), "priors")
-
-    every = scored(rows, [*names, "__declared", "__host", "__suffix"]).withColumn("__own", own)
-    both = every.join(small_side(hosts), (F.col("__host") == F.col("__ph")) & (F.col("__suffix") == F.col("__ps")), "left")
-    prior = F.transform(F.arrays_zip("__c", "__parent", "__own"), lambda x: (F.greatest(x["__c"] - x["__own"], F.lit(0.0)) + strength * x["__parent"]) / (F.greatest(F.col("__n") - 1, F.lit(0.0)) + strength))
-    known = F.array(*map(F.lit, model.languages))
-    wrong = float(np.log((1 - reliability) / max(1, n - 1)))
-    said = F.transform(known, lambda x: F.when(F.col("__declared").isNull() | ~F.array_contains(known, F.col("__declared")), 0.0).when(x == F.col("__declared"), float(np.log(reliability))).otherwise(wrong))
-    both = both.withColumn("__prior", prior).withColumn("__said", said)
-    logit = F.transform(F.arrays_zip("__ll", "__said", "__prior"), lambda x: x["__ll"] * temper + x["__said"] + F.log(x["__prior"]))
-    both = both.withColumn("__logit", logit)
-    best = F.array_max("__logit")
-    language = F.when(blank, NONE).otherwise(F.element_at(known, F.array_position("__logit", best).cast("int")))
-    confidence = F.when(blank, 0.0).otherwise(1 / total(F.transform("__logit", lambda x: F.exp(x - best))))
-    out = both.select(*names, language.alias("__language"), confidence.alias("__confidence"), "__declared")
-    return out.withColumn("__accepted", (F.col("__language") != NONE) & (F.col("__confidence") >= least))
+    names = [i for i, c in enumerate(docs.columns) if keep is None or c in keep]
+    k, n = len(names), len(model.languages)
+    given = docs.select("*", primary(declared), F.coalesce(host, F.lit("")), F.coalesce(suffix, F.lit("")), text)
+    plain, own_names = positional(given)
+    kept, width = [own_names[i] for i in names], len(docs.columns)
+    plain = plain.select(*kept, *own_names[width:]).toDF(*[f"k{i}" for i in range(k)], "said", "host", "suffix", "body")
+    rows = durable(_scored(plain, model), "scores")
+
+    blank = F.forall("ll", lambda x: x == 0)
+    odds = F.transform("ll", lambda x: F.exp((x - F.array_max("ll")) * temper))
+    share = F.transform(odds, lambda x: F.round(x / _total(odds) * _UNIT).cast("long"))
+    own = F.when(blank, F.array_repeat(F.lit(0).cast("long"), n)).otherwise(share)
+    rows = rows.withColumn("own", own)
+
+    each = rows.select("host", "suffix", (~blank).cast("long").alias("n"), F.col("own").alias("c"))
+    by_host = durable(_sums(each, n, "host", "suffix"), "hosts")
+    root = _sums(by_host, n).first()
+    root = [(x / _UNIT + 1.0) / (root.n + n) for x in root.c] if root.n is not None else [1.0 / n] * n
+    smooth = F.zip_with("c", F.array(*map(F.lit, root)), lambda x, r: (x / _UNIT + r * strength) / (F.col("n") + strength))
+    by_suffix = durable(_sums(by_host, n, "suffix").select(F.col("suffix").alias("of_suffix"), smooth.alias("parent")), "suffixes")
+    hosts = by_host.join(small_side(by_suffix), F.col("suffix") == F.col("of_suffix"))
+    hosts = durable(hosts.select(F.col("host").alias("h"), F.col("suffix").alias("s"), F.col("n").alias("pages"), "c", "parent"), "priors")
+
+    both = rows.join(small_side(hosts), (F.col("host") == F.col("h")) & (F.col("suffix") == F.col("s")), "left")
+    others = F.greatest(F.col("pages") - F.when(blank, 0).otherwise(1), F.lit(0))
+    prior = lambda x: (F.greatest(x["c"] - x["own"], F.lit(0)) / _UNIT + strength * x["parent"]) / (others + strength)
+    known, wrong = F.array(*map(F.lit, model.languages)), math.log((1 - reliability) / max(1, n - 1))
+    silent = F.col("said").isNull() | ~F.array_contains(known, F.col("said"))
+    said = lambda x: F.when(silent, 0.0).when(x == F.col("said"), math.log(reliability)).otherwise(wrong)
+    evidence = F.arrays_zip("ll", "c", "parent", "own", known.alias("name"))
+    logit = F.transform(evidence, lambda x: x["ll"] * temper + said(x["name"]) + F.log(prior(x)))
+    both = both.withColumn("logit", logit)
+    best = F.array_max("logit")
+    language = F.when(blank, NONE).otherwise(F.element_at(known, F.array_position("logit", best).cast("int")))
+    confidence = F.when(blank, 0.0).otherwise(1 / _total(F.transform("logit", lambda x: F.exp(x - best))))
+    out = both.select(*[f"k{i}" for i in range(k)], language.alias("language"), confidence.alias("confidence"), "said")
+    out = out.withColumn("accepted", (F.col("language") != NONE) & (F.col("confidence") >= least))
+    return out.toDF(*[docs.columns[i] for i in names], *FOUND)
 
 
 def document_languages(docs: DataFrame, **how) -> DataFrame:
-    """:func:`identify` over the corpus table: ``lang`` is the declared language, ``source`` the host."""
-    model = train(training_sample(docs, "text", F.col("lang")))
-    return identify(docs, model, F.col("lang"), F.col("source"), F.lit(None).cast("string"), **how)
+    """:func:`identify` over the corpus table: ``lang`` is the declared language, ``source`` the host; no suffix is known."""
+    text, declared = F.col("text"), F.col("lang")
+    model = train(training_sample(docs, text, declared))
+    return identify(docs, model, text, declared, F.col("source"), F.lit(None).cast("string"), **how)
+
+
+def accepted_documents(docs: DataFrame) -> DataFrame:
+    """The documents whose language is identified, lang being that language; all columns, of any names, stay in place."""
+    plain, names = positional(document_languages(docs))
+    width = len(docs.columns)
+    language, accepted = names[width], names[width + 3]
+    out = [F.col(language if c == "lang" else names[i]).alias(names[i]) for i, c in enumerate(docs.columns)]
+    return plain.where(F.col(accepted)).select(*out).toDF(*docs.columns)
 
 
 def page_languages(pages: DataFrame, **how) -> DataFrame:
-    """:func:`identify` over raw pages: the markup's language, the url's host and its last label as suffix."""
+    """:func:`identify` over raw pages: the visible text, the markup's language, the url's host and its last label as suffix."""
     host = host_of(F.col("url"))
     suffix = F.regexp_extract(host, r"([^.:]*)(?::\d*)?$", 1)
-    text = pages.withColumn("__visible", F.array_join(html_lines(F.col("html")), "\n"))
-    declared = markup_language(F.col("html"))
-    return identify(text, train(training_sample(text, "__visible", declared)), declared, host, suffix, text="__visible", **how).drop("__visible")
+    text, declared = F.array_join(html_lines(F.col("html")), "\n"), markup_language(F.col("html"))
+    return identify(pages, train(training_sample(pages, text, declared)), text, declared, host, suffix, **how)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-import corpus_pipeline
 from arborlake.llm import warc
 from arborlake.llm.ann import nearest
 from arborlake.llm.decontaminate import benchmark_matches, contamination_digest
@@ -39,14 +37,13 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = document_languages(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("__language").alias("language"), F.col("__confidence").alias("confidence"), F.col("__declared").alias("declared"), F.col("__accepted").alias("accepted"))
+    """All evidence: visible text, the markup's language, the address suffix and the host's prior of raw pages."""
+    return page_languages(read_table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
-def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same fusion over raw pages, with the markup's language, the host and its address suffix."""
-    found = page_languages(read_table(spark, sf_dir, "pages"))
-    return found.select("page_id", F.col("__language").alias("language"), F.col("__confidence").alias("confidence"), F.col("__declared").alias("declared"), F.col("__accepted").alias("accepted"))
+def language_id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fusion over the corpus table as the pipeline has it: declared language and source, no suffix."""
+    return document_languages(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +74,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_archive, op3_language_id, op4_decontaminate, op5_nearest_neighbours, op6_mix_sources, op7_url_filter, op8_line_dedup, op9_token_files, op10_simhash_near_dedup, language_id_pages)} | {"pipeline": corpus_pipeline.run}
-
-
+_ALL = (
+    op1_license_scan, op2_warc_archive, op3_language_id, op4_decontaminate, op5_nearest_neighbours, op6_mix_sources, op7_url_filter,
+    op8_line_dedup, op9_token_files, op10_simhash_near_dedup, language_id_documents,
+)
+QUERIES = {f.__name__: f for f in _ALL}
