@@ -3,12 +3,14 @@
 A group is self-contained: one frequency table shared by its blocks, a directory of documents, and blocks of whole
 documents. Each block interleaves LANES states over its ids (lane i takes ids i, i + LANES, ...) that share
 one stream of 16-bit words, and has checkpoints (all states and the stream's offset) from which decoding
-can start, and checksums of its words and of its ids. Coding runs over all lanes of all blocks at once.
+can start, and checksums of its words and of its ids. Blocks are cut at their checkpoints for decoding, and
+coding runs over all lanes of all blocks, decoding over those of all their parts, at once.
 
 Layout, little-endian: header (magic, version, blocks, documents, ids, symbols, CRC-32 of all that follows),
 symbols u32, frequencies - 1 u16, document keys i64, null flags u8, lengths u32, then per block its
 header (ids, documents, words, checkpoints, CRC-32 of words, CRC-32 of ids), states u32, checkpoints, words u16.
-A group of over 32768 distinct ids has no table; its blocks hold the ids as u32.
+The table has room for 65536 symbols. A group of more distinct ids codes each id as two symbols, its upper and its lower
+16 bits, by a table of those (the header's flag); its checkpoints count symbols.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC, LANES, SCALE, CHECKPOINT = b"ARNS", 64, 16, 128
+MAGIC, VERSION, LANES, SCALE, CHECKPOINT = b"ARNS", 2, 64, 16, 128
 _HEAD, _BLOCK = struct.Struct("<4sHHIIQII"), struct.Struct("<QIIIII")
 _LOW = np.uint64(1 << 16)
 
@@ -35,9 +37,8 @@ class Block:
     crc_ids: int
 
 
-def table_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, frequencies that sum to 2^16, each 1 at least) of a group's ids."""
-    symbols, counts = np.unique(ids, return_counts=True)
+def frequencies(counts: np.ndarray) -> np.ndarray:
+    """Frequencies in proportion to the counts, each 1 at least, that sum to 2^16. There are as many counts at most."""
     total = 1 << SCALE
     freq = np.maximum(1, counts * total // max(1, counts.sum())).astype(np.int64)
     over = int(freq.sum()) - total
@@ -49,7 +50,7 @@ def table_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         take = np.where(np.cumsum(take) <= over, take, np.maximum(0, over - (np.cumsum(take) - take)))
         freq[order] -= take
         over -= int(take.sum())
-    return symbols.astype(np.uint32), freq
+    return freq
 
 
 def encode_blocks(parts: list[np.ndarray], symbols: np.ndarray, freq: np.ndarray) -> list[tuple]:
@@ -84,7 +85,7 @@ def encode_blocks(parts: list[np.ndarray], symbols: np.ndarray, freq: np.ndarray
 
 
 def decode_blocks(blocks: list[tuple[int, np.ndarray, np.ndarray]], symbols: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
-    """The ids of each (number of ids, words, states); states and words may be those from a checkpoint on."""
+    """The symbols of each (number of symbols, words, states), where states and words are those of any part of a block."""
     n = np.array([k for k, _, _ in blocks])
     steps = int(-(-n.max() // LANES)) if len(n) and n.max() else 0
     starts = np.concatenate(([0], np.cumsum([len(w) for _, w, _ in blocks])[:-1])).astype(np.int64)
@@ -111,30 +112,42 @@ def decode_blocks(blocks: list[tuple[int, np.ndarray, np.ndarray]], symbols: np.
     return [row[:k] for row, k in zip(ids, n.tolist(), strict=True)]
 
 
+def _halves(ids: np.ndarray) -> np.ndarray:
+    """The upper and lower 16 bits of each id in turn."""
+    return np.stack([ids >> 16, ids & 0xFFFF], axis=1).reshape(-1)
+
+
 def pack(keys: list[int | None], lengths: np.ndarray, ids: np.ndarray, cuts: list[int]) -> bytes:
     """A group of documents (key, number of ids; all ids in a row) whose blocks end before the documents ``cuts``."""
     ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-    symbols, freq = table_of(ids)
-    raw = len(symbols) > 1 << (SCALE - 1)
+    ids = ids.astype(np.int64)
+    symbols, counts = np.unique(ids, return_counts=True)
+    split = len(symbols) > 1 << SCALE
+    if split:
+        symbols, counts = np.unique(_halves(ids), return_counts=True)
+    symbols, freq = symbols.astype(np.uint32), frequencies(counts)
     first = [0, *cuts[:-1]]
     parts = [ids[ends[a] : ends[b]] for a, b in zip(first, cuts, strict=True)]
-    body = [] if raw else [symbols.astype("<u4").tobytes(), (freq - 1).astype("<u2").tobytes()]
-    body += [np.array([0 if k is None else k for k in keys], "<i8").tobytes(), np.array([k is None for k in keys], np.uint8).tobytes(), lengths.astype("<u4").tobytes()]
-    coded = [(np.frombuffer(p.astype("<u4").tobytes(), "<u2"), np.zeros(LANES, np.uint32), np.zeros(0, np.uint32), np.zeros((0, LANES), np.uint32)) for p in parts] if raw else encode_blocks(parts, symbols, freq)
+    body = [symbols.astype("<u4").tobytes(), (freq - 1).astype("<u2").tobytes()]
+    body.append(np.array([0 if k is None else k for k in keys], "<i8").tobytes())
+    body.append(np.array([k is None for k in keys], np.uint8).tobytes())
+    body.append(lengths.astype("<u4").tobytes())
+    coded = encode_blocks([_halves(p) for p in parts] if split else parts, symbols, freq)
     for p, (words, states, offsets, saved), a, b in zip(parts, coded, first, cuts, strict=True):
         w = words.astype("<u2").tobytes()
         body.append(_BLOCK.pack(len(p), b - a, len(words), len(offsets), zlib.crc32(w), zlib.crc32(p.astype("<u4").tobytes())))
         body += [states.astype("<u4").tobytes(), offsets.astype("<u4").tobytes(), saved.astype("<u4").tobytes(), w]
     body = b"".join(body)
-    return _HEAD.pack(MAGIC, 1, int(raw), len(parts), len(keys), len(ids), 0 if raw else len(symbols), zlib.crc32(body)) + len(body).to_bytes(8, "little") + body
+    head = _HEAD.pack(MAGIC, VERSION, int(split), len(parts), len(keys), len(ids), len(symbols), zlib.crc32(body))
+    return head + len(body).to_bytes(8, "little") + body
 
 
 class Group:
     """A packed group, read at ``at`` of ``data``; ``end`` is the place after it."""
 
     def __init__(self, data: bytes, at: int = 0):
-        magic, version, self.raw, n_blocks, n_docs, self.n_ids, n_symbols, crc = _HEAD.unpack_from(data, at)
-        if magic != MAGIC or version != 1:
+        magic, version, self.split, n_blocks, n_docs, self.n_ids, n_symbols, crc = _HEAD.unpack_from(data, at)
+        if magic != MAGIC or version != VERSION:
             raise ValueError("not a group of token ids")
         size = int.from_bytes(data[at + _HEAD.size : at + _HEAD.size + 8], "little")
         at += _HEAD.size + 8
@@ -162,19 +175,37 @@ class Group:
                 raise ValueError("a block's words are damaged")
             self.blocks.append(Block(ids, docs, words, states, offsets, saved, crc_ids))
 
+    def _segments(self, b: Block, first: int, last: int | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(symbols, words, states) of the block's parts between checkpoints, from part ``first`` up to ``last``."""
+        n, step = b.ids << self.split, CHECKPOINT * LANES
+        states, at = [b.states, *b.saved], [0, *b.offsets.tolist(), len(b.words)]
+        sizes = [min(step, n - i * step) for i in range(len(states))]
+        return [(sizes[i], b.words[at[i] : at[i + 1]], states[i]) for i in range(len(states))][first:last]
+
+    def _whole(self, symbols: list[np.ndarray]) -> np.ndarray:
+        flat = np.concatenate([np.zeros(0, np.uint32), *symbols])
+        return flat[::2] << np.uint32(16) | flat[1::2] if self.split else flat
+
     def ids(self) -> np.ndarray:
-        """All ids of the group, checked."""
-        if self.raw:
-            parts = [np.frombuffer(b.words.tobytes(), "<u4") for b in self.blocks]
-        else:
-            parts = decode_blocks([(b.ids, b.words, b.states) for b in self.blocks], self.symbols, self.freq) if self.blocks else []
+        """All ids of the group, checked; all parts of all blocks are decoded side by side."""
+        parts = [self._segments(b, 0) for b in self.blocks]
+        got = decode_blocks([x for p in parts for x in p], self.symbols, self.freq) if parts else []
+        out, at = [], 0
         for b, p in zip(self.blocks, parts, strict=True):
-            if zlib.crc32(p.astype("<u4").tobytes()) != b.crc_ids:
+            out.append(self._whole(got[at : at + len(p)]))
+            at += len(p)
+            if zlib.crc32(out[-1].astype("<u4").tobytes()) != b.crc_ids:
                 raise ValueError("a block's ids are damaged")
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-
-    def from_checkpoint(self, block: int, checkpoint: int) -> np.ndarray:
-        """The block's ids from its given checkpoint on, without decoding those before."""
-        b = self.blocks[block]
-        skip = (checkpoint + 1) * CHECKPOINT * LANES
-        return decode_blocks([(b.ids - skip, b.words[b.offsets[checkpoint] :], b.saved[checkpoint])], self.symbols, self.freq)[0]
+        return np.concatenate([np.zeros(0, np.uint32), *out])
+
+    def document(self, i: int) -> np.ndarray:
+        """The ids of one document, from the checkpoint before its first id to that after its last."""
+        block, first = 0, 0
+        while i >= first + self.blocks[block].docs:
+            first += self.blocks[block].docs
+            block += 1
+        start = int(self.lengths[first:i].sum())
+        end, step = start + int(self.lengths[i]), CHECKPOINT * LANES >> self.split
+        parts = self._segments(self.blocks[block], start // step, -(-end // step))
+        ids = self._whole(decode_blocks(parts, self.symbols, self.freq))
+        return ids[start - start // step * step :][: end - start]

@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlake.llm import rans
-from arborlake.llm.text import arrow_columns, slices
+from arborlake.llm.text import arrow_columns, kept, slices
 from arborlake.runtime import durable, shared_path, small_side
 
 #: Ids in a block and in a group, and units of text whose ids a worker remembers.
-BLOCK_IDS, GROUP_IDS, REMEMBERED = 16_384, 1_048_576, 400_000
+BLOCK_IDS, GROUP_IDS, REMEMBERED = 16_384, 1_048_576, 300_000
+#: Groups in a file, which is read as one row.
+FILE_GROUPS = 16
 END_ID = 0
 _SHARD = "<IQ"
 #: What keeps a text from being cut by plain replacement: other white space than single spaces and one or two line ends.
@@ -40,8 +42,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _cuts_hold(tokenizer) -> bool:
+    """Whether this is a tokenizer that :class:`Units` may cut texts for: byte-level BPE with the usual pattern, no normalizer,
+    no dropout, and added tokens that no cut or word touches."""
+    from tokenizers import models, pre_tokenizers
+
+    pre, model = tokenizer.pre_tokenizer, tokenizer.model
+    if not isinstance(pre, pre_tokenizers.ByteLevel) or not isinstance(model, models.BPE) or tokenizer.normalizer is not None:
+        return False
+    if pre.add_prefix_space or not pre.use_regex or model.dropout or model.unk_token or model.continuing_subword_prefix or model.end_of_word_suffix:
+        return False
+    added = tokenizer.get_added_tokens_decoder().values()
+    odd = lambda t: t.single_word or t.lstrip or t.rstrip or t.content.isalpha() or any(c in " \n\x00,." for c in t.content)
+    return not any(map(odd, added))
+
+
 class Units(dict):
-    """Ids of units of text, each looked up in the tokenizer once.
+    """Ids of units of text, each looked up in the tokenizer once; a tokenizer of another kind encodes whole texts.
 
     Texts are cut into units where the byte-level tokenizer always starts a new piece, so that a text's ids are its units'
     ids in a row: before a single space between characters that are no white space, around one or two line ends
@@ -53,6 +70,7 @@ class Units(dict):
 
         super().__init__()
         self.tokenizer, self.letters, self.new = Tokenizer.from_file(path), _byte_letters(), []
+        self.cut = _cuts_hold(self.tokenizer)
         self._forget()
 
     def _forget(self) -> None:
@@ -71,9 +89,14 @@ class Units(dict):
         if not self.new:
             return
         units, self.new = self.new, []
-        model, ids, rest = self.tokenizer.model, [None] * len(units), []
+        model, ids, rest, space = self.tokenizer.model, [None] * len(units), [], self.letters[32]
         for i, u in enumerate(units):
-            if u.removeprefix(" ").isalpha() and max(u) < _JUDGED:
+            word = u.removeprefix(" ")
+            if not word.isalpha():
+                rest.append(i)
+            elif u.isascii():  # its letters stand for themselves
+                ids[i] = [t.id for t in model.tokenize(word if word is u else space + word)]
+            elif max(u) < _JUDGED:
                 ids[i] = [t.id for t in model.tokenize(u.encode().decode("latin-1").translate(self.letters))]
             else:
                 rest.append(i)
@@ -104,6 +127,8 @@ class Units(dict):
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text."""
+        if not self.cut:
+            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self) > REMEMBERED:
             self._forget()
         parts, ends, plain = [], [], []
@@ -134,16 +159,6 @@ def _cut(text: str) -> list[str]:
     return out
 
 
-_workers: dict[str, Units] = {}
-
-
-def units_of(path: str) -> Units:
-    """This process's memory of the tokenizer at ``path``."""
-    if path not in _workers:
-        _workers[path] = Units(path)
-    return _workers[path]
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, shards: int | None = None) -> str:
     """Write the ids of every text, each followed by END_ID, in ascending doc_id order; returns the folder.
 
@@ -159,8 +174,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     rows = rows.select("*", F.xxhash64("text").alias("__hash"), F.monotonically_increasing_id().alias("__nth"))
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
+    owner = f"units of {tokenizer}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, before, units = TaskContext.get().partitionId(), 0, units_of(tokenizer)
+        shard, before, units = TaskContext.get().partitionId(), 0, kept(owner, lambda: Units(tokenizer))
         keys, lengths, parts, cuts, held, block = [], [], [], [], 0, 0
 
         def group() -> pa.RecordBatch:
@@ -172,7 +189,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             keys, lengths, parts, cuts, held, block = [], [], [], [], 0, 0
             return pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary())})
 
-        for b in slices(batches, 64):
+        for b in slices(batches, 64, owner=owner):
             for key, ids in zip(b.column(0).to_pylist(), units.encode_all(b.column(1).to_pylist()), strict=True):
                 ids = np.append(ids, np.int32(END_ID))
                 if len(ids) > 4 * BLOCK_IDS and keys:  # a very long text is a group of its own
@@ -189,21 +206,22 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         if keys:
             yield group()
 
-    rows.mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value")).write.text(folder)
+    rows.mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_GROUPS).text(folder)
     return folder
 
 
 def read_token_files(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32 and, if asked, the ids.
 
-    start counts the ids of all documents before it. Groups are decoded independently of each other.
+    start counts the ids of all documents before it. Groups are decoded independently of each other, the parts of their
+    blocks between checkpoints side by side.
     """
     schema = "shard long, start long, doc_id long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             for file in b.column(0):
-                data, at = file.as_py(), 0
+                data, at = memoryview(file.as_buffer()), 0
                 while at < len(data):
                     shard, start = struct.unpack_from(_SHARD, data, at)
                     group = rans.Group(data, at + struct.calcsize(_SHARD))
@@ -211,7 +229,9 @@ def read_token_files(spark: SparkSession, folder: str, ids: bool = False) -> Dat
                     all_ids = group.ids().astype("<u4")
                     ends = np.cumsum(group.lengths)
                     parts = np.split(all_ids, ends[:-1])
-                    out = [(shard, start + int(e) - len(p), key, len(p), zlib.crc32(p.tobytes()), *([p.tolist()] if ids else [])) for key, e, p in zip(group.keys, ends, parts, strict=True)]
+                    out = []
+                    for key, end, p in zip(group.keys, ends.tolist(), parts, strict=True):
+                        out.append((shard, start + end - len(p), key, len(p), zlib.crc32(p.tobytes()), *([p.tolist()] if ids else [])))
                     yield pa.RecordBatch.from_pydict(arrow_columns(schema, out))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")

@@ -36,7 +36,7 @@ def test_units_on_documents():
     assert all(a.tolist() == e.ids for a, e in zip(units.encode_all(texts), tok.encode_batch(texts, add_special_tokens=False), strict=True))
 
 
-@pytest.mark.parametrize("n,kinds", [(1, 1), (5, 2), (70, 3), (40_000, 40), (60_000, 9000), (40_000, 40_000)])
+@pytest.mark.parametrize("n,kinds", [(1, 1), (5, 2), (70, 3), (40_000, 40), (60_000, 9000), (40_000, 40_000), (50_000, 50_000), (65_536, 65_536), (90_000, 90_000)])
 def test_rans_round_trip_and_checkpoints(n, kinds):
     rng = np.random.default_rng(n)
     lengths = []
@@ -47,13 +47,10 @@ def test_rans_round_trip_and_checkpoints(n, kinds):
     data = rans.pack(list(range(len(lengths))), np.array(lengths), ids.astype(np.int32), cuts)
     group = rans.Group(data)
     assert group.end == len(data) and (group.ids() == ids).all() and group.lengths.tolist() == lengths
-    if not group.raw:
-        at = 0
-        for b, block in enumerate(group.blocks):
-            for c in range(len(block.offsets)):
-                skip = (c + 1) * rans.CHECKPOINT * rans.LANES
-                assert (group.from_checkpoint(b, c) == ids[at + skip : at + block.ids]).all()
-            at += block.ids
+    ends = np.cumsum(lengths)
+    for i in {0, len(lengths) // 2, len(lengths) - 1}:
+        assert (group.document(i) == ids[ends[i] - lengths[i] : ends[i]]).all()
+    assert group.split == (kinds > 65_536)
     for k in {len(data) - 1, len(data) // 2}:
         broken = bytearray(data)
         broken[k] ^= 1
@@ -83,3 +80,23 @@ def test_corpus_round_trip(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert tokenfile.encode_corpus(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, texts = Tokenizer.from_file(path), awkward(200)
+    assert not tokenfile.Units(path).cut and tokenfile.Units(PATH).cut
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in tokenfile.read_token_files(spark, tokenfile.write_token_files(df, path), ids=True).collect()}
+    assert all(got[i] == [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts))
+
+
+def test_many_groups_in_bounded_files(spark, monkeypatch, tmp_path):
+    words = "the of and to in that is was for it with as on be at by this had not are but from or have an they which one you were all"
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choices(words.split(), k=70_000))) for i in range(40)]
+    folder = tokenfile.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), PATH, f"{tmp_path}/out", shards=1)
+    assert len(list((tmp_path / "out").glob("part-*"))) == 3
+    got = tokenfile.read_token_files(spark, folder).collect()
+    ids = Tokenizer.from_file(PATH).encode(rows[7][1]).ids
+    assert len(got) == 40 and next(r.ids_crc32 for r in got if r.doc_id == 7) == zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
