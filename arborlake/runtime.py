@@ -92,12 +92,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, unless the session's own setting says otherwise.
+ARROW_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once an application."""
-    context = spark.sparkContext
+    """Send this package to the executors' Python workers, once an application, and bound what they get at once."""
+    context, batch = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if context.getConf().get(batch) is None:
+        spark.conf.set(batch, ARROW_BYTES)
     if context.applicationId in _shipped:
         return
     folder = tempfile.mkdtemp(prefix="arborlake-code-")  # the driver serves it from there
