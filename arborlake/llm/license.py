@@ -54,31 +54,42 @@ def _phrase_finder(phrases: dict[str, str]) -> Callable[[list[bytes]], tuple]:
     return find
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templates: tuple[tuple[str, str], ...] | None = None, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, phrases: dict[str, str] | None = None, templates: tuple[tuple[str, str], ...] | None = None, threshold: float = 0.8, shingle: int = 5
+) -> DataFrame:
     """One row per document: doc_id, n_words, phrase places (n, first, last, labels), template matches.
 
     phrases: exact phrases with a label each (default PHRASES). templates: (label, text) pairs, a bounded list
-    (default TEMPLATES): every run of as many words as a template (the whole text, if shorter) that holds
-    ``threshold`` of the template's distinct shingles is found; ``starts``, ``ends`` are the matching
-    runs, ``found`` their labels, ``containment`` the highest part held (0.0: none).
+    (default TEMPLATES): every block of text that holds ``threshold`` of the template's distinct shingles within as many words
+    as the template's divided by ``threshold`` is found, so words may be changed, left out or put in. ``starts`` and ``ends``
+    are the matching blocks, ``found`` their labels, ``containment`` the highest part held (0.0: none).
     Null and empty texts have no words; repeated documents give repeated rows; other columns are ignored.
     """
-    queries = [(passages.words_in(text), threshold, label) for label, text in (TEMPLATES if templates is None else templates)]
+    known = TEMPLATES if templates is None else templates
+    queries = [passages.Passage(passages.words_in(text), threshold, label, longest=1 / threshold) for label, text in known]
 
     def make(n: int, matches) -> tuple:
         rows = sorted({(start, end, label, part) for label, start, end, part in matches})
-        return [x[0] for x in rows], [x[1] for x in rows], sorted({x[2] for x in rows}), max((x[3] for x in rows), default=0.0)
+        best = max((x[3] for x in rows), default=0.0)
+        return n, [x[0] for x in rows], [x[1] for x in rows], sorted({x[2] for x in rows}), best
 
-    out = passages.match_queries(
-        docs, [q for q in queries if q[0]], shingle, ["doc_id"], lambda n, m: (n, *make(n, m)), "n_words long, starts array<long>, ends array<long>, found array<string>, containment double",
+    return passages.match_queries(
+        docs, queries, shingle, ["doc_id"],
+        make, "n_words long, starts array<long>, ends array<long>, found array<string>, containment double",
         _phrase_finder(PHRASES if phrases is None else phrases), "n_base long, first_word long, last_word long, base array<string>",
     )
-    return out
 
 
 def license_report(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (1.0 for an exact phrase)."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (1.0 for an exact phrase).
+
+    A row per row of ``docs``, repeated ones too. Null and empty texts have no words, null first and last places, empty
+    labels and a score of 0.0. Labels stand in ascending order, each once; how many phrases or templates tie for the score
+    does not matter.
+    """
     rows = scan_licenses(docs, **how)
     labels = F.array_join(F.array_sort(F.array_distinct(F.concat("base", "found"))), ",")
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.col("containment"))
-    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), labels.alias("labels"), score.alias("score"))
+    return rows.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), labels.alias("labels"), score.alias("score")
+    )
