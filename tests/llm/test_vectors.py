@@ -42,9 +42,12 @@ def test_recall_beyond_the_sample(spark, clusters, monkeypatch):
     assert got[100] == want[100] == [101, 102, 103, 104, 105]
 
 
-def test_small_tables_are_exact(spark):
+def test_small_tables_go_through_the_lists(spark):
     m, ids = data(90, 7, 2, 0), np.arange(90) * 5
-    assert found(spark, [(int(i), v.tolist(), "x") for i, v in zip(ids, m, strict=True)]) == brute(ids, m.astype(float), 50, 5)
+    rows, want = [(int(i), v.tolist(), "x") for i, v in zip(ids, m, strict=True)], brute(ids, m.astype(float), 50, 5)
+    assert found(spark, rows, recall=1.0, epsilon=50.0) == want
+    got = found(spark, rows)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
 
 
 def test_odd_vectors_take_no_part(spark):
@@ -61,7 +64,36 @@ def test_abandoning_only_drops_the_far():
     q = ann._unit(m[:20] + 0.05 * rng.standard_normal((20, 64)))
     far = ((q[:, None] - m[None]) ** 2).sum(2)
     bound = np.sort(far, axis=1)[:, 5]
-    a, b = ann.scan_block(q, bound, np.ascontiguousarray(m.T), 2.5, 8)
+    a, b, _ = ann.scan_block(q, bound, np.ascontiguousarray(m.T), 2.5, 8)
     kept = set(zip(a.tolist(), b.tolist(), strict=True))
     near = [(i, int(j)) for i in range(20) for j in np.argsort(far[i])[:5]]
     assert sum(x in kept for x in near) >= 0.97 * len(near) and len(kept) < 0.2 * far.size
+
+
+def test_recall_with_a_small_sample(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, m = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    want = brute(ids, m, 50, 5)
+    for size in (20, 250, 10_000):
+        got = {}
+        for r in ann.nearest(df, sample_rows=size).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert all(len(x) == 5 for x in got.values())
+        assert sum(len(got[q] & set(want[q])) for q in want) / (5 * len(want)) >= 0.9, size
+
+
+def test_scaled_copies_tie(spark):
+    m, ids = data(400, 16, 6, 3), np.arange(400)
+    for i in range(1, 40):
+        m[i] = m[0] * 2.0 ** (i % 9)  # the same direction exactly, so the same cosine
+    rows = [(int(i), v.tolist(), "x") for i, v in zip(ids, m, strict=True)]
+    got = found(spark, rows)
+    assert got[0] == [1, 2, 3, 4, 5] and got[50] == brute(ids, m.astype(float), 50, 5)[50]
+
+
+def test_unanswered_queries_are_asked_in_all_lists(spark, monkeypatch):
+    m, ids = data(600, 16, 7, 6), np.arange(600)
+    rows = [(int(i), v.tolist(), "x") for i, v in zip(ids, m, strict=True)]
+    got, want = found(spark, rows, epsilon=-7.9), brute(ids, m.astype(float), 50, 5)  # a test that abandons nearly all
+    assert all(len(x) == 5 for x in got.values()) and sum(got[q] == want[q] for q in want) >= 9
