@@ -25,12 +25,12 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, min_pages: int = 2) -> DataFrame:
     """One row per page: page_id, host, n_lines, n_dropped, text (the kept lines, joined by line ends).
 
     A line is dropped on a host if it stands on more than ``ratio`` of the host's pages and on at least
-    ``min_pages`` of them; a page counts once for a line however often it repeats it, and repeated
-    rows count as pages of their own. Lines of 128-bit digest equality are the same line. Pages
+    ``min_pages`` of them: two, as a line on one page repeats nothing within its site (else a host of one page would lose
+    all). A page counts once for a line however often it repeats it, and repeated rows count as pages of their own. Lines of 128-bit digest equality are the same line. Pages
     without a url or ``://`` share the empty host. Null html gives no lines and an empty text.
 
     What is counted leaves a map task as one row per host and line; the dropped lines of a host are at
@@ -41,10 +41,13 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, min_pages: int = 5) -
     total = rows.groupBy("host").agg(F.count("*").alias("pages"))
     each = rows.select("host", F.explode(F.array_distinct(F.transform("lines", _key))).alias("line"))
     often = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    often = often.join(total.where(F.col("pages") >= min_pages), "host").where(F.col("n") > F.col("pages") * ratio)
+    often = often.join(total, "host").where(F.col("n") > F.col("pages") * ratio)
     site = durable(often.groupBy("host").agg(F.collect_list("line").alias("boilerplate")), "boilerplate")
     site = site.select(F.col("host").alias("_host"), "boilerplate")
     out = rows.join(small_side(site, 20_000), F.col("host") == F.col("_host"), "left")
-    kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("boilerplate"), _key(x))))
-    out = out.withColumn("kept", kept)
-    return out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
+    own = F.filter("lines", lambda x: ~F.array_contains(F.col("boilerplate"), _key(x)))
+    out = out.withColumn("kept", F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(own))
+    dropped = (F.size("lines") - F.size("kept")).cast("long")
+    return out.select(
+        "page_id", "host", F.size("lines").cast("long").alias("n_lines"), dropped.alias("n_dropped"), F.array_join("kept", "\n").alias("text")
+    )

@@ -13,9 +13,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlake.llm.text import positional
 from arborlake.runtime import durable, small_side
 
 #: Documents in a leaf of the reduction tree, and residuals combined by one inner node.
@@ -125,9 +126,8 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         widest, level = widest / FAN_IN, level + 1
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("h"))
+def _words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
@@ -135,21 +135,34 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
 
     See :func:`mix` for the rules; further columns are ignored, an empty table gives an empty one.
     """
-    taken = mix(_sized(docs), **how)
-    each = taken.select("doc_id", "size", "source_size", "target", "m", "c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("i"))
+    taken = mix(docs.select("doc_id", "source", _words(F.col("text")).alias("size"), F.xxhash64("text").alias("h")), **how)
+    rows = F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))
+    each = taken.select("doc_id", "size", "source_size", "target", "m", "c", rows.alias("i"))
     copies = F.floor(F.col("c") / F.col("m")) + (F.col("i") <= F.col("c") % F.col("m")).cast("long")
     return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def repeat_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, all columns kept."""
-    names = docs.columns
-    sized = docs.withColumns({"__mix_size": F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"), "__mix_hash": F.xxhash64("text")})
-    taken = mix(_sized(docs), **how).select(F.col("doc_id").alias("__mix_doc"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_words"), F.col("h").alias("__mix_text"), F.col("m").alias("__mix_rows"), F.col("c").alias("__mix_copies"))
-    key = F.col("doc_id").eqNullSafe(F.col("__mix_doc")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_size") == F.col("__mix_words")) & (F.col("__mix_hash") == F.col("__mix_text"))
-    both = sized.join(taken.hint("shuffle_hash"), key)
-    one = both.where("__mix_rows = 1").withColumn("__mix_times", F.col("__mix_copies"))
-    nth = F.row_number().over(Window.partitionBy("__mix_doc", "__mix_source", "__mix_words", "__mix_text").orderBy(F.lit(1)))
-    many = both.where("__mix_rows > 1").withColumn("__mix_times", F.floor(F.col("__mix_copies") / F.col("__mix_rows")) + (nth <= F.col("__mix_copies") % F.col("__mix_rows")).cast("long"))
-    out = one.unionByName(many) if not taken.where("__mix_rows > 1").isEmpty() else one
-    return out.where("__mix_times > 0").withColumn("__mix_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_times")))).select(*names)
+    """``docs`` with each row as often as the mix takes it, all columns kept, whatever their names.
+
+    Rows that agree in doc_id, source and text share what is taken of them as evenly as whole copies go. Those that agree in
+    all columns are counted first, so that only different ones meet in a window.
+    """
+    plain, names = positional(docs)
+    of = dict(zip(docs.columns, names, strict=True))
+    text = F.col(of["text"])
+    sized = plain.select(*names, _words(text).alias("size"), F.xxhash64(text).alias("h"))
+    taken = mix(sized.select(F.col(of["doc_id"]).alias("doc_id"), F.col(of["source"]).alias("source"), "size", "h"), **how)
+    taken = durable(taken.select(*[F.col(c).alias(f"t_{c}") for c in ("doc_id", "source", "size", "h", "m", "c")]), "taken")
+    key = F.col(of["doc_id"]).eqNullSafe(F.col("t_doc_id")) & F.col(of["source"]).eqNullSafe(F.col("t_source"))
+    both = sized.join(taken, key & (F.col("size") == F.col("t_size")) & (F.col("h") == F.col("t_h")))
+    out = both.where("t_m = 1").select(*names, F.col("t_c").alias("times"))
+    if not taken.where("t_m > 1").isEmpty():
+        shared = [F.col(c) for c in ("t_doc_id", "t_source", "t_size", "t_h")]
+        alike = both.where("t_m > 1").groupBy(*names, *shared, "t_m", "t_c").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy(*shared).orderBy(*names)) - F.col("n")
+        extra = F.greatest(F.least(F.col("before") + F.col("n"), F.col("t_c") % F.col("t_m")) - F.col("before"), F.lit(0))
+        times = (F.floor(F.col("t_c") / F.col("t_m")) * F.col("n") + extra).cast("long")
+        out = out.unionAll(alike.withColumn("before", before).select(*names, times.alias("times")))
+    out = out.where("times > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return out.select(*names).toDF(*docs.columns)

@@ -41,8 +41,13 @@ x AS (SELECT page_id, html, {_HOST} AS host, coalesce(regexp_extract(rest, '^[^/
 t AS (SELECT *, regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>') AS tag1, regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>') AS tag2 FROM x),
 l AS (SELECT host, path, query, unnest([regexp_replace(regexp_extract(tag1, '(?is)[\\s"''/]href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1), '^["'']|["'']$', '', 'g'),
   regexp_extract(regexp_replace(regexp_extract(tag2, '(?is)[\\s"''/]content\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1), '^["'']|["'']$', '', 'g'), '(?is)url\\s*=\\s*[''"]?([^''"]+)', 1)]) AS link FROM t WHERE host <> ''),
-k AS (SELECT host || path || query AS a, trim(replace(link, '&amp;', '&')) AS link, host FROM l),
-b AS (SELECT a, CASE WHEN regexp_matches(link, '(?i)^https?://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN 'http://' || host || link END AS target FROM k),
+k AS (SELECT host || path || query AS a, trim(replace(link, '&amp;', '&')) AS link, host, path FROM l),
+b0 AS (SELECT a, host, path, link, regexp_extract(link, '^[^?#]*') AS own, regexp_extract(link, '^[^?#]*(.*)$', 1, 's') AS more FROM k),
+b1 AS (SELECT *, string_split(CASE WHEN starts_with(own, '/') THEN own ELSE '/' || regexp_replace(regexp_replace(path, '[^/]*$', ''), '^/', '') || own END, '/') AS parts FROM b0),
+b2 AS (SELECT *, list_reduce(list_transform(parts, lambda s: [s]), lambda x, y: CASE WHEN y[1] = '.' THEN x WHEN y[1] = '..' THEN CASE WHEN len(x) > 1 THEN x[:-2] ELSE x END ELSE x || y END)
+  || CASE WHEN parts[-1] IN ('.', '..') THEN [''] ELSE [] END AS clean FROM b1),
+b AS (SELECT a, CASE WHEN regexp_matches(link, '(?i)^https?://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN link = '' OR starts_with(link, '#') OR regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  WHEN starts_with(link, '?') THEN 'http://' || host || path || link ELSE 'http://' || host || array_to_string(clean, '/') || more END AS target FROM b2),
 c AS (SELECT a, {_REST.format("target")} AS rest FROM b),
 e AS (SELECT a, {_HOST} AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(rest, '^[^?#]*([?][^#]*)?', 1), '') AS query FROM c),
 g AS (SELECT a, host || path || query AS b FROM e WHERE host <> '' AND a <> host || path || query),
@@ -67,7 +72,7 @@ WITH p AS (SELECT row_number() OVER () AS r, page_id, {_HOST} AS host,
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 l AS (SELECT r, host, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM p),
 n AS (SELECT host, line, count(DISTINCT r) AS n FROM l GROUP BY host, line),
-b AS (SELECT host, line FROM n JOIN t USING (host) WHERE n >= 5 AND pages >= 5 AND n > pages * CAST(0.1 AS DOUBLE)),
+b AS (SELECT host, line FROM n JOIN t USING (host) WHERE n >= 2 AND n > pages * CAST(0.1 AS DOUBLE)),
 k AS (SELECT l.r, count(*) AS kept, string_agg(l.line, chr(10) ORDER BY l.at) AS text FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.host = l.host AND b.line = l.line) GROUP BY l.r)
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(kept, 0) AS BIGINT) AS n_dropped, coalesce(text, '') AS text FROM p LEFT JOIN k USING (r)
 """

@@ -32,17 +32,31 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), F.coalesce(query, F.lit(""))))
 
 
-def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """struct(rule, action) of the longest rule that fits, else null.
+def with_rule(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``rows`` (with columns host and path) with a column r: struct(rule, action) of the longest rule that fits, else null.
 
-    rules: (action, host, path prefix), a bounded list. A rule fits its host and all subdomains. Of rules of
-    equal length the one that sorts last wins; of one rule given with both actions, allow.
+    rules: (action, host, path prefix). A rule fits its host and all subdomains. Of rules of equal length the one that sorts
+    last wins; of one rule given with both actions, allow. Rules are looked up, not tried in turn: for each number of labels
+    that their hosts have, the last so many labels of a page's host are joined with the rules of that host, by broadcast
+    while the rules are measured to be small. No rules leave all rows null.
     """
-    cases = F.lit(None).cast("struct<rule:string,action:string>")
-    for action, name, prefix in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2], r[0] == "allow")):
-        fits = ((host == name) | host.endswith("." + name)) & path.startswith(prefix)
-        cases = F.when(fits, F.struct(F.lit(name + prefix).alias("rule"), F.lit(action).alias("action"))).otherwise(cases)
-    return cases
+    none = F.lit(None).cast("struct<rule:string,action:string>")
+    if not rules:
+        return rows.withColumn("r", none)
+    spark, found = rows.sparkSession, []
+    table = spark.createDataFrame(rules, "action string, name string, prefix string")
+    rule = F.concat("name", "prefix")
+    choice = F.struct(F.length(rule).alias("n"), rule.alias("rule"), (F.col("action") == "allow").alias("allow"), "action", "prefix")
+    for depth in sorted({name.count(".") + 1 for _, name, _ in rules}):
+        own = table.where(F.size(F.split("name", r"\.")) == depth).groupBy("name").agg(F.collect_list(choice).alias(f"rules{depth}"))
+        own = own.withColumnRenamed("name", f"name{depth}")
+        tail = F.when(F.size(F.split("host", r"\.")) >= depth, F.substring_index("host", ".", -depth))
+        rows = rows.join(small_side(own), tail == F.col(f"name{depth}"), "left").drop(f"name{depth}")
+        found.append(f"rules{depth}")
+    every = F.flatten(F.array_compact(F.array(*found)))
+    best = F.array_max(F.filter(every, lambda x: F.col("path").startswith(x["prefix"])))
+    kept = F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["action"].alias("action"))).otherwise(none)
+    return rows.withColumn("r", kept).drop(*found)
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -50,18 +64,37 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.replace(F.regexp_replace(value, r"""^["']|["']$""", ""), F.lit("&amp;"), F.lit("&"))
 
 
+def _without_dots(path: Column) -> Column:
+    """``path`` without its segments ``.`` and, with the segment before each, ``..``."""
+    parts, none = F.split(path, "/"), F.expr("cast(array() as array<string>)")
+    up = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+    push = lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x)))
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    clean = F.array_join(F.concat(F.aggregate(parts, none, push), end), "/")
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), clean).otherwise(path)
+
+
 def _absolute(url: Column, link: Column) -> Column:
-    """``link`` as found on ``url``: absolute, or relative to the scheme or the host; null for other forms."""
-    link = F.trim(link)
-    host = F.concat(F.lit("http://"), host_of(url))
-    return F.when(link.rlike("(?i)^https?://"), link).when(link.startswith("//"), F.concat(F.lit("http:"), link)).when(link.startswith("/"), F.concat(host, link))
+    """``link`` as found on ``url``: absolute, or relative to the scheme, the host, the path or the query; null for a
+    fragment alone, nothing, and other schemes."""
+    link, host, path = F.trim(link), F.concat(F.lit("http://"), host_of(url)), path_of(url)
+    own, more = F.regexp_extract(link, r"^[^?#]*", 0), F.regexp_extract(link, r"(?s)^[^?#]*(.*)\z", 1)
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(path, r"[^/]*\z", ""), "^/", ""))
+    below = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    return (
+        F.when(link.rlike("(?i)^https?://"), link)
+        .when(link.startswith("//"), F.concat(F.lit("http:"), link))
+        .when((link == "") | link.startswith("#") | link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(link.startswith("?"), F.concat(host, path, link))
+        .otherwise(F.concat(host, _without_dots(below), more))
+    )
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
     """(a, b): nodes of pages and of the targets of their canonical links and refresh redirects.
 
-    The first canonical link of a page counts and its first refresh. Null html or url, and links of other
-    forms than absolute or from the host's root, give none.
+    The first canonical link of a page counts and its first refresh, absolute or relative to the page. Null html or url give
+    none, nor do links of other schemes than http and https.
     """
     html, url = F.col("html"), F.col("url")
     tag = lambda pattern: F.regexp_extract(html, pattern, 0)
@@ -87,11 +120,17 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
     if redirects is not None:
         edges = edges.unionAll(redirects.select(node_of(F.col("source")).alias("a"), node_of(F.col("target")).alias("b")))
     judged = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = judged.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
+    judged = with_rule(judged, rules)
     roots = durable(connected_components(edges), "aliases")
-    known = roots.select("root", F.concat(F.lit("x://"), "node").alias("u")).select("root", longest_rule(host_of(F.col("u")), path_of(F.col("u")), rules)["action"].alias("action"))
-    blocked = known.groupBy("root").agg(F.max(F.col("action") == "block").alias("block"), F.max(F.col("action") == "allow").alias("allow")).where("block AND NOT coalesce(allow, false)")
-    blocked = durable(roots.join(blocked.select("root"), "root", "left_semi").select(F.col("node").alias("_node"), F.lit(True).alias("_by_alias")), "blocked")
-    out = judged.join(small_side(blocked), F.when(F.col("r").isNull(), node_of(F.col("url"))) == F.col("_node"), "left")
-    verdict = F.coalesce(F.col("r.action"), F.when(F.col("_by_alias"), "block").otherwise("allow"))
+    as_url = roots.select("root", F.concat(F.lit("x://"), "node").alias("u"))
+    known = with_rule(as_url.select("root", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path")), rules)
+    action = F.col("r.action")
+    classes = known.groupBy("root").agg(F.max(action == "block").alias("block"), F.max(action == "allow").alias("allow"))
+    classes = classes.where("block AND NOT coalesce(allow, false)").select("root")
+    blocked = roots.join(classes, "root", "left_semi").select(F.col("node").alias("alias"), F.lit(True).alias("by_alias"))
+    # pages that need no alias have keys of their own, which no node equals, so that they are not all one null key
+    node = F.when(F.col("r").isNull(), node_of(F.col("url")))
+    key = F.coalesce(node, F.concat(F.lit("\u0000"), F.xxhash64("page_id", "url").cast("string")))
+    out = judged.join(small_side(durable(blocked, "blocked")), key == F.col("alias"), "left")
+    verdict = F.coalesce(action, F.when(F.col("by_alias"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))

@@ -3,8 +3,8 @@
 Two tables in one folder: ``payloads`` (digest, payload), bucketed by digest, and ``headers`` (the exact header block
 of each record, with its digest), split by record type. A record is read back by joining both and is its
 header block followed by the payload; the payload is digested again and compared. Payloads never
-move for responses: their headers are bucketed alike. Revisits may share one digest many times over; they
-join only the payloads that revisits name, by a plain join that adaptive execution can split.
+move: headers are bucketed alike. Only the payloads of hot digests (a thousand at most, each of over a thousandth of
+all records, such as empty pages or a page that many others copy) are joined in parts by :func:`spread_join`.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.llm.text import utf8
-from arborlake.runtime import durable, shared_path
+from arborlake.runtime import HOT_KEYS, durable, shared_path, spread_join
 
 _END = "\r\n"
 
@@ -33,7 +33,7 @@ class Archive:
 
 
 def _field(name: str, value: Column) -> Column:
-    """A header line, or nothing for a null value; line ends within a value are percent-encoded."""
+    """A header line, or nothing for a null value. A line end would end the line, so within a value it is percent-encoded."""
     value = F.replace(F.replace(value.cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(_END)), F.lit(""))
 
@@ -46,13 +46,15 @@ def records(pages: DataFrame, least_bytes: int, date: str) -> DataFrame:
     """(page_id, type, digest, header) for every page; header is the record's exact header block."""
     payload = utf8(F.col("html"))
     rows = durable(pages.select("page_id", "url", F.sha2(payload, 256).alias("digest"), F.length(payload).cast("long").alias("n")), "digests")
-    first = rows.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1")
-    rows = rows.join(first.select(F.col("digest").alias("d"), "first"), F.col("digest") == F.col("d"), "left")
+    groups = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("n").alias("bytes"), F.count("*").alias("k"))
+    groups = durable(groups, "groups")
+    first = groups.where((F.col("bytes") >= least_bytes) & (F.col("k") > 1)).select("digest", "first")
+    rows = spread_join(rows, first, "digest", groups.select("digest", F.col("k").alias("n")), F.col("page_id"), "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     header = F.concat(
         F.lit(f"WARC/1.1{_END}"),
         F.when(again, f"WARC-Type: revisit{_END}").otherwise(f"WARC-Type: response{_END}"),
-        _field("WARC-Record-ID", _urn(F.col("page_id"))),
+        _field("WARC-Record-ID", F.coalesce(_urn(F.col("page_id")), F.concat(F.lit("<urn:sha256:"), "digest", F.lit(">")))),
         _field("WARC-Target-URI", F.col("url")),
         F.lit(f"WARC-Date: {date}{_END}"),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
@@ -70,7 +72,7 @@ def write_archive(pages: DataFrame, least_bytes: int = 100, date: str = "2024-01
     The payload is the html in UTF-8, empty for null. Of records with equal payloads of at least ``least_bytes``
     the one with the smallest page_id is a response and the others revisit it (rows that repeat that
     page_id are responses too; if all page_ids are null, all are); records with smaller payloads are all
-    responses. Null urls and page_ids leave their header lines out. An empty table makes an
+    responses. Null urls leave their header line out; records with a null page_id are named by their digest. An empty table makes an
     empty archive; further columns are ignored.
     """
     spark = pages.sparkSession
@@ -91,12 +93,17 @@ def read_archive(spark: SparkSession, at: Archive) -> DataFrame:
 
     Fails if a stored payload does not have its digest.
     """
-    headers, payloads = spark.table(at.headers).withColumnRenamed("digest", "d"), spark.table(at.payloads)
-    own = headers.where("type = 'response'").join(payloads, F.col("d") == F.col("digest"))
-    again = headers.where("type = 'revisit'")
-    named = payloads.join(again.select(F.col("d").alias("digest")).distinct(), "digest", "left_semi")
-    both = own.select("type", "header", "d", "payload").unionAll(again.join(named, F.col("d") == F.col("digest")).select("type", "header", "d", "payload"))
-    sound = F.when(F.sha2("payload", 256) == F.col("d"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), "d")).cast("binary"))
+    headers, payloads = spark.table(at.headers), spark.table(at.payloads)
+    counts = durable(headers.groupBy("digest").agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r.digest for r in counts.where(F.col("n") > max(1, total // HOT_KEYS)).select("digest").collect()]  # HOT_KEYS at most
+    cold = headers.where(~F.col("digest").isin(hot)).join(payloads.where(~F.col("digest").isin(hot)), "digest") if hot else headers.join(payloads, "digest")
+    both = cold.select("type", "header", "digest", "payload")
+    if hot:
+        named = counts.where(F.col("digest").isin(hot))
+        warm = spread_join(headers.where(F.col("digest").isin(hot)), payloads.where(F.col("digest").isin(hot)), "digest", named, F.col("header"))
+        both = both.unionAll(warm.select("type", "header", "digest", "payload"))
+    sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), "digest")).cast("binary"))
     return both.select("type", "header", sound.alias("payload"))
 
 

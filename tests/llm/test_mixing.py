@@ -81,3 +81,11 @@ def test_empty(spark):
     assert mixing.mix_documents(none).count() == 0 and mixing.repeat_documents(none).count() == 0
     blank = spark.createDataFrame([(1, "a", ""), (2, None, None)], none.schema)
     assert sorted((r.doc_id, r.taken, r.target) for r in mixing.mix_documents(blank).collect()) == [(1, 0, 0.0), (2, 0, 0.0)]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["source", "a.b", "__mix_doc", "__mix_size", "__mix_i", "size", "h", "t_c", "c1", "text", "doc_id"]
+    rows = [("s", *range(8), "a b c", i) for i in range(30)] + [("s", *range(1, 9), "a b c", 7)] * 3
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n in ('source', 'text') else 'int'}" for n in names))
+    out = mixing.repeat_documents(df)
+    assert out.columns == names and {tuple(r) for r in out.collect()} <= set(rows) and 40 <= out.count() <= 60
