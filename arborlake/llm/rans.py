@@ -53,26 +53,52 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     return freq
 
 
+#: Ids up to which they are numbered and counted by a table.
+_DENSE = 1 << 22
+
+
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, how often each is there)."""
+    if not len(ids) or ids.max() >= _DENSE:
+        return np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    return symbols, counts[symbols]
+
+
+def _numbering(symbols: np.ndarray):
+    """From ids to their places among the symbols."""
+    if not len(symbols) or symbols[-1] >= _DENSE:
+        return lambda ids: np.searchsorted(symbols, ids)
+    table = np.zeros(int(symbols[-1]) + 1, np.int32)
+    table[symbols] = np.arange(len(symbols))
+    return lambda ids: table[ids]
+
+
 def encode_blocks(parts: list[np.ndarray], symbols: np.ndarray, freq: np.ndarray) -> list[tuple]:
     """(words, states, offsets, saved states) of each block of ids."""
     n = np.array([len(p) for p in parts])
     steps = int(-(-n.max() // LANES)) if len(n) and n.max() else 0
-    flat = np.zeros((len(parts), steps * LANES), np.int64)
+    # lanes beyond a block's end have a symbol of their own that leaves the state as it is
+    flat = np.full((len(parts), steps * LANES), len(symbols), np.int32)
+    number = _numbering(symbols)
     for row, p in zip(flat, parts, strict=True):
-        row[: len(p)] = np.searchsorted(symbols, p)
+        row[: len(p)] = number(p)
     sym = np.ascontiguousarray(flat.reshape(len(parts), steps, LANES).transpose(1, 0, 2))
-    live = (np.arange(steps * LANES).reshape(1, steps, LANES) < n[:, None, None]).transpose(1, 0, 2)
-    freq, base = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
-    x = np.full((len(parts), LANES), _LOW, np.uint64)
+    # states are below 2^32 and their quotients exact in double precision, which divides faster than whole numbers
+    total = float(1 << SCALE)
+    base = np.append(np.cumsum(freq) - freq, 0).astype(np.float64)
+    freq = np.append(freq, total).astype(np.float64)
+    rest, limit = total - freq, freq * total
+    x = np.full((len(parts), LANES), float(_LOW))
     out, put, saved = np.zeros((steps, len(parts), LANES), np.uint16), np.zeros((steps, len(parts), LANES), bool), {}
-    sixteen = np.uint64(16)
     for t in range(steps - 1, -1, -1):
-        f, on = freq[sym[t]], live[t]
-        full = on & (x >= f << sixteen)
-        out[t], put[t] = x & np.uint64(0xFFFF), full
-        y = np.where(full, x >> sixteen, x)
-        q = y // f
-        x = np.where(on, (q << sixteen) + (y - q * f) + base[sym[t]], x)
+        s = sym[t]
+        full = x >= limit[s]
+        high = np.floor(x / total)
+        out[t], put[t] = x - high * total, full
+        y = np.where(full, high, x)
+        x = y + np.floor(y / freq[s]) * rest[s] + base[s]
         if t % CHECKPOINT == 0 and t:
             saved[t] = x.astype(np.uint32)
     done = []
@@ -121,10 +147,10 @@ def pack(keys: list[int | None], lengths: np.ndarray, ids: np.ndarray, cuts: lis
     """A group of documents (key, number of ids; all ids in a row) whose blocks end before the documents ``cuts``."""
     ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
     ids = ids.astype(np.int64)
-    symbols, counts = np.unique(ids, return_counts=True)
+    symbols, counts = _counted(ids)
     split = len(symbols) > 1 << SCALE
     if split:
-        symbols, counts = np.unique(_halves(ids), return_counts=True)
+        symbols, counts = _counted(_halves(ids))
     symbols, freq = symbols.astype(np.uint32), frequencies(counts)
     first = [0, *cuts[:-1]]
     parts = [ids[ends[a] : ends[b]] for a, b in zip(first, cuts, strict=True)]

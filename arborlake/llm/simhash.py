@@ -34,7 +34,7 @@ BITS = 64
 #: Buckets of up to this many distinct fingerprints are compared pair by pair.
 PAIRWISE = 48
 #: Pairs per member from which a bucket of the sweep gives a star forest.
-MOST_PAIRS = 4
+MOST_PAIRS = 1
 #: Fingerprints in a block of a dense bucket (radius over 2).
 BLOCK = 1024
 #: Groups of four bits, of 16, that the second signatures of candidates share: at a Jaccard similarity of 0.8 about 13, of unrelated texts one.
@@ -42,7 +42,7 @@ LEAST_ALIKE = 7
 #: Bottom-sketch similarity under which a pair is clearly distant (a pair of 0.8 comes that low once in 10^12) and is not read again.
 DISTANT = 0.5
 #: Distinct shingles of all members of a candidate component that are held at once (a block; two blocks meet in a task).
-SETS = 1 << 20
+SETS = 1 << 18
 #: Hashes summed at once and bytes of text cut into words at once, which bounds memory for very long texts.
 _CHUNK, _PIECE = 1 << 16, 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -188,9 +188,12 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(d) <= 16 - LEAST_ALIKE
 
 
-def _star_forest(x: np.ndarray, sig: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of candidate links that connect whatever candidates connect among ``x``: at most one per member."""
-    return _spanning(len(x), _hub(x), lambda at, rest: (np.bitwise_count(x[rest] ^ x[at]) <= radius) & _alike(sig[rest], sig[at]))
+def _star_forest(x: np.ndarray, sig: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of candidate links that connect whatever candidates connect among ``x``: at most one per member.
+
+    They start from the smallest node, so that the buckets of one group in many tables give much the same links.
+    """
+    return _spanning(len(x), int(np.argmin(node)) if len(x) else 0, lambda at, rest: (np.bitwise_count(x[rest] ^ x[at]) <= radius) & _alike(sig[rest], sig[at]))
 
 
 def _blocks(members: DataFrame, radius: int) -> DataFrame:
@@ -199,7 +202,7 @@ def _blocks(members: DataFrame, radius: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         fp, sig = (table.column(c).to_numpy().astype("<u8") for c in ("fp", "sig"))
         node = table.column("node").to_numpy()
-        a, b = _star_forest(fp, sig, radius)
+        a, b = _star_forest(fp, sig, node, radius)
         return pa.table({"a": node[a], "b": node[b]})
 
     n = F.ceil(F.col("n") / BLOCK).cast("long")
@@ -292,7 +295,10 @@ def _sweep(radius: int):
         # buckets in which nearly all are near all others give a star forest instead of pairs
         bucket = np.searchsorted(start, a, side="right") - 1
         many = np.flatnonzero(np.bincount(bucket, minlength=len(start)) > MOST_PAIRS * size)
-        stars = [tuple(p + start[i] for p in _star_forest(x[start[i] : start[i] + size[i]], s[start[i] : start[i] + size[i]], radius)) for i in many]
+        stars = []
+        for i in many:
+            own = slice(start[i], start[i] + size[i])
+            stars.append(tuple(p + start[i] for p in _star_forest(x[own], s[own], node[own], radius)))
         few = ~np.isin(bucket, many)
         kind = np.repeat([0, 2, 1], [few.sum(), sum(len(p) for p, _ in stars), len(big)])
         a = np.concatenate([node[a[few]], *(node[p] for p, _ in stars), t[big].astype(np.int64)])

@@ -12,9 +12,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,13 +26,18 @@ from arborlake.llm.text import arrow_columns, kept, slices
 from arborlake.runtime import durable, shared_path, small_side
 
 #: Ids in a block and in a group, and units of text whose ids a worker remembers.
-BLOCK_IDS, GROUP_IDS, REMEMBERED = 16_384, 1_048_576, 400_000
+BLOCK_IDS, GROUP_IDS, REMEMBERED = 16_384, 1_048_576, 800_000
 #: Groups in a file, which is read as one row.
 FILE_GROUPS = 16
 END_ID = 0
 _SHARD = "<IQ"
 #: What keeps a text from being cut by plain replacement: other white space than single spaces and one or two line ends.
-_ODD = ("  ", " \n", "\n ", "\n\n\n", "\x00", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_ODD = ("  ", " \n", "\n ", "\n\n\n", "\x00", "\x01", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_ID = attrgetter("id")
+#: Characters that always fit an Arrow string of 2 GB.
+_SHORT = 1 << 29
+#: Stands between texts that are cut together; texts with it are odd.
+_MARK = "\x01"
 #: Characters from here on are not judged here but left to the tokenizer, whose character tables may be of another age.
 _JUDGED = "\u0530"
 
@@ -71,13 +78,23 @@ class Units(dict):
         super().__init__()
         self.tokenizer, self.letters, self.new = Tokenizer.from_file(path), _byte_letters(), []
         self.cut = _cuts_hold(self.tokenizer)
-        self._forget()
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.point, self.word_end, self.seen = np.zeros(1 << 14, bool), np.zeros(1 << 14, bool), np.zeros(1 << 14, np.int32)
 
     def _forget(self) -> None:
+        """Keep the half of the units that was used most."""
+        n = len(self)
+        stay = np.sort(np.argpartition(-self.seen[:n], n // 2)[: n // 2])
+        names = list(self)
         self.clear()
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.point, self.word_end = np.zeros(1 << 14, bool), np.zeros(1 << 14, bool)
+        self.update((names[i], k) for k, i in enumerate(stay.tolist()))
+        self.flat, _ = self._ids(stay)
+        self.used, n = len(self.flat), self.length[stay]
+        for a in (self.length, self.point, self.word_end, self.seen):
+            a[: len(stay)] = a[stay]
+        self.start[: len(stay)] = np.cumsum(n) - n
+        self.seen[: len(stay)] //= 2
 
     def __missing__(self, unit: str) -> int:
         self[unit] = n = len(self)
@@ -89,15 +106,19 @@ class Units(dict):
         if not self.new:
             return
         units, self.new = self.new, []
-        model, ids, rest, space = self.tokenizer.model, [None] * len(units), [], self.letters[32]
-        for i, u in enumerate(units):
-            word = u.removeprefix(" ")
-            if not word.isalpha():
-                rest.append(i)
-            elif u.isascii():  # its letters stand for themselves
-                ids[i] = [t.id for t in model.tokenize(word if word is u else space + word)]
-            elif max(u) < _JUDGED:
-                ids[i] = [t.id for t in model.tokenize(u.encode().decode("latin-1").translate(self.letters))]
+        tokenize, ids, space = self.tokenizer.model.tokenize, [None] * len(units), self.letters[32]
+        coded = pa.array(units, pa.large_string())
+        plain = pc.ascii_is_alpha(pc.replace_substring_regex(coded, "^ ", "")).to_numpy(zero_copy_only=False)
+        # the letters of such words stand for themselves, their space for another letter
+        words = pc.replace_substring(coded.filter(pa.array(plain)), " ", space).to_pylist()
+        for i, w in zip(np.flatnonzero(plain).tolist(), words, strict=True):
+            ids[i] = list(map(_ID, tokenize(w)))
+        point, word_end, rest = np.zeros(len(units), bool), plain.copy(), []
+        for i in np.flatnonzero(~plain).tolist():
+            u = units[i]
+            point[i], word_end[i] = u[:1] in (",", "."), u[-1:].isalnum() and u[-1] < _JUDGED
+            if u.removeprefix(" ").isalpha() and max(u) < _JUDGED:
+                ids[i] = list(map(_ID, tokenize(u.encode().decode("latin-1").translate(self.letters))))
             else:
                 rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch([units[i] for i in rest], add_special_tokens=False), strict=True):
@@ -105,21 +126,45 @@ class Units(dict):
         first, lengths = len(self) - len(units), np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lengths.sum())
         while self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat) + (1 << 16), np.int32)))
         while len(self) > len(self.start):
-            self.start, self.length, self.point, self.word_end = (np.concatenate((a, np.zeros_like(a))) for a in (self.start, self.length, self.point, self.word_end))
+            grown = (self.start, self.length, self.point, self.word_end, self.seen)
+            self.start, self.length, self.point, self.word_end, self.seen = (np.concatenate((a, np.zeros_like(a))) for a in grown)
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
         self.start[first : len(self)] = self.used + np.cumsum(lengths) - lengths
         self.length[first : len(self)] = lengths
-        self.point[first : len(self)] = [u[:1] in (",", ".") for u in units]
-        self.word_end[first : len(self)] = [u[-1:].isalnum() and u[-1] < _JUDGED for u in units]
+        self.point[first : len(self)], self.word_end[first : len(self)] = point, word_end
+        self.seen[first : len(self)] = 0
         self.used += total
 
-    def _units(self, parts: list[str]) -> np.ndarray:
-        unit = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+    def _numbers(self, distinct: list[str], uses: np.ndarray) -> np.ndarray:
+        """The numbers of distinct units, which are used that often."""
+        if len(self) > REMEMBERED:
+            self._forget()
+        unit = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
         self._learn()
+        self.seen[unit] += uses
         return unit
 
+    def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(units of all texts in a row, how many there are up to the end of each). The texts are cut by plain replacement."""
+        cut = _MARK.join(texts).replace(" ", "\x00 ").replace(",", "\x00,").replace(".", "\x00.").replace("\n", "\x00\n\x00")
+        cut = cut.replace(_MARK, f"\x00{_MARK}\x00")
+        cut = pa.array([cut], pa.string() if len(cut) < _SHORT else pa.large_string())
+        coded = pc.split_pattern(cut, "\x00").values.dictionary_encode()
+        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        unit = self._numbers(distinct, np.bincount(at, minlength=len(distinct)))[at]
+        marks = np.flatnonzero(at == distinct.index(_MARK)) if len(texts) > 1 else np.zeros(0, np.int64)
+        return np.delete(unit, marks), np.append(marks - np.arange(len(marks)), len(unit) - len(marks))
+
+    def _slowly(self, text: str) -> np.ndarray:
+        """The ids of a text that has other white space or points elsewhere than after words."""
+        if not text:
+            return np.zeros(0, np.int32)
+        coded = pa.array(_cut(text), pa.large_string()).dictionary_encode()
+        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        return self._ids(self._numbers(distinct, np.bincount(at, minlength=len(distinct)))[at])[0]
+
     def _ids(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each unit)."""
         n = self.length[unit]
@@ -129,21 +174,19 @@ class Units(dict):
         """The ids of each whole text."""
         if not self.cut:
             return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self) > REMEMBERED:
-            self._forget()
-        parts, ends, plain = [], [], []
-        for text in texts:
-            plain.append(bool(text) and not (any(x in text for x in _ODD) or text[0] in " \n" or text[-1] in " \n"))
-            if plain[-1]:
-                parts += text.replace(" ", "\x00 ").replace(",", "\x00,").replace(".", "\x00.").replace("\n", "\x00\n\x00").split("\x00")
-            ends.append(len(parts))
-        unit = self._units(parts)
-        ids, n = self._ids(unit)
-        wrong = np.flatnonzero(self.point[unit[1:]] & ~self.word_end[unit[:-1]]) + 1
-        at = np.concatenate(([0], np.cumsum(n)))[[0, *ends]]
-        begins = [0, *ends[:-1]]
-        spoilt = set(np.searchsorted(ends, wrong[~np.isin(wrong, begins)], side="right").tolist())
-        return [ids[at[i] : at[i + 1]] if plain[i] and i not in spoilt else self._ids(self._units(_cut(text)))[0] if text else np.zeros(0, np.int32) for i, text in enumerate(texts)]
+        plain = [i for i, t in enumerate(texts) if t and not (any(x in t for x in _ODD) or t[0] in " \n" or t[-1] in " \n")]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if plain:
+            unit, ends = self._units([texts[i] for i in plain])
+            ids, n = self._ids(unit)
+            # a comma or full stop is a unit's start only after a letter or digit
+            wrong = np.flatnonzero(self.point[unit[1:]] & ~self.word_end[unit[:-1]]) + 1
+            spoilt = set(np.searchsorted(ends, wrong, side="right").tolist())
+            at = np.concatenate(([0], np.cumsum(n)))[np.append(0, ends)]
+            for k, i in enumerate(plain):
+                if k not in spoilt:
+                    out[i] = ids[at[k] : at[k + 1]]
+        return [self._slowly(t) if x is None else x for x, t in zip(out, texts, strict=True)]
 
 
 def _cut(text: str) -> list[str]:
@@ -189,7 +232,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             keys, lengths, parts, cuts, held, block = [], [], [], [], 0, 0
             return pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary())})
 
-        for b in slices(batches, 64, owner=owner):
+        for b in slices(batches, 8192, 8 << 20, owner):
             for key, ids in zip(b.column(0).to_pylist(), units.encode_all(b.column(1).to_pylist()), strict=True):
                 ids = np.append(ids, np.int32(END_ID))
                 if len(ids) > 4 * BLOCK_IDS and keys:  # a very long text is a group of its own
