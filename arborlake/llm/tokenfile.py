@@ -22,22 +22,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlake.llm import rans
-from arborlake.llm.text import arrow_columns, kept, slices
+from arborlake.llm.text import arrow_columns, kept, slices, utf8
 from arborlake.runtime import durable, shared_path, small_side
 
 #: Ids in a block and in a group, and units of text whose ids a worker remembers.
-BLOCK_IDS, GROUP_IDS, REMEMBERED = 16_384, 1_048_576, 800_000
+BLOCK_IDS, GROUP_IDS, REMEMBERED = 16_384, 1_048_576, 500_000
 #: Groups in a file, which is read as one row.
 FILE_GROUPS = 16
 END_ID = 0
 _SHARD = "<IQ"
-#: What keeps a text from being cut by plain replacement: other white space than single spaces and one or two line ends.
-_ODD = ("  ", " \n", "\n ", "\n\n\n", "\x00", "\x01", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_ID = attrgetter("id")
-#: Characters that always fit an Arrow string of 2 GB.
-_SHORT = 1 << 29
+#: White space other than space and line end, by code point.
+_OTHER_SPACE = (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Stands between texts that are cut together; texts with it are odd.
-_MARK = "\x01"
+_MARK = b"\x01"
+#: What keeps a text from being cut by plain replacement: other white space than single spaces and one or two line ends
+#: within it.
+_ODD = r"  | \n|\n |\n\n\n|\x00|\x01|^[ \n]|[ \n]\z|[" + "".join(rf"\x{{{c:x}}}" for c in _OTHER_SPACE) + "]"
+_ID = attrgetter("id")
+#: Bytes that an Arrow column of the shorter kind holds.
+_SHORT = 1 << 31
 #: Characters from here on are not judged here but left to the tokenizer, whose character tables may be of another age.
 _JUDGED = "\u0530"
 
@@ -79,7 +82,7 @@ class Units(dict):
         self.tokenizer, self.letters, self.new = Tokenizer.from_file(path), _byte_letters(), []
         self.cut = _cuts_hold(self.tokenizer)
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.point, self.word_end, self.seen = np.zeros(1 << 14, bool), np.zeros(1 << 14, bool), np.zeros(1 << 14, np.int32)
 
     def _forget(self) -> None:
@@ -96,7 +99,7 @@ class Units(dict):
         self.start[: len(stay)] = np.cumsum(n) - n
         self.seen[: len(stay)] //= 2
 
-    def __missing__(self, unit: str) -> int:
+    def __missing__(self, unit: bytes) -> int:
         self[unit] = n = len(self)
         self.new.append(unit)
         return n
@@ -107,7 +110,7 @@ class Units(dict):
             return
         units, self.new = self.new, []
         tokenize, ids, space = self.tokenizer.model.tokenize, [None] * len(units), self.letters[32]
-        coded = pa.array(units, pa.large_string())
+        coded = pa.array(units, pa.large_binary()).view(pa.large_string())
         plain = pc.ascii_is_alpha(pc.replace_substring_regex(coded, "^ ", "")).to_numpy(zero_copy_only=False)
         # the letters of such words stand for themselves, their space for another letter
         words = pc.replace_substring(coded.filter(pa.array(plain)), " ", space).to_pylist()
@@ -115,13 +118,13 @@ class Units(dict):
             ids[i] = list(map(_ID, tokenize(w)))
         point, word_end, rest = np.zeros(len(units), bool), plain.copy(), []
         for i in np.flatnonzero(~plain).tolist():
-            u = units[i]
+            u = units[i].decode()
             point[i], word_end[i] = u[:1] in (",", "."), u[-1:].isalnum() and u[-1] < _JUDGED
             if u.removeprefix(" ").isalpha() and max(u) < _JUDGED:
-                ids[i] = list(map(_ID, tokenize(u.encode().decode("latin-1").translate(self.letters))))
+                ids[i] = list(map(_ID, tokenize(units[i].decode("latin-1").translate(self.letters))))
             else:
                 rest.append(i)
-        for i, e in zip(rest, self.tokenizer.encode_batch([units[i] for i in rest], add_special_tokens=False), strict=True):
+        for i, e in zip(rest, self.tokenizer.encode_batch([units[i].decode() for i in rest], add_special_tokens=False), strict=True):
             ids[i] = e.ids
         first, lengths = len(self) - len(units), np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lengths.sum())
@@ -137,44 +140,50 @@ class Units(dict):
         self.seen[first : len(self)] = 0
         self.used += total
 
-    def _numbers(self, distinct: list[str], uses: np.ndarray) -> np.ndarray:
-        """The numbers of distinct units, which are used that often."""
+    def _numbers(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(number of each distinct unit, place of each unit among those, the distinct units)."""
         if len(self) > REMEMBERED:
             self._forget()
+        coded = units.dictionary_encode()
+        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         unit = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
         self._learn()
-        self.seen[unit] += uses
-        return unit
+        self.seen[unit] += np.bincount(at, minlength=len(distinct))
+        return unit, at, distinct
 
-    def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(units of all texts in a row, how many there are up to the end of each). The texts are cut by plain replacement."""
-        cut = _MARK.join(texts).replace(" ", "\x00 ").replace(",", "\x00,").replace(".", "\x00.").replace("\n", "\x00\n\x00")
-        cut = cut.replace(_MARK, f"\x00{_MARK}\x00")
-        cut = pa.array([cut], pa.string() if len(cut) < _SHORT else pa.large_string())
-        coded = pc.split_pattern(cut, "\x00").values.dictionary_encode()
-        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        unit = self._numbers(distinct, np.bincount(at, minlength=len(distinct)))[at]
+        cut = _MARK.join(texts).replace(b" ", b"\x00 ").replace(b",", b"\x00,").replace(b".", b"\x00.").replace(b"\n", b"\x00\n\x00")
+        cut = cut.replace(_MARK, b"\x00" + _MARK + b"\x00")
+        cut = pa.array([cut], pa.binary() if len(cut) < _SHORT else pa.large_binary())
+        unit, at, distinct = self._numbers(pc.split_pattern(cut, b"\x00").values)
         marks = np.flatnonzero(at == distinct.index(_MARK)) if len(texts) > 1 else np.zeros(0, np.int64)
-        return np.delete(unit, marks), np.append(marks - np.arange(len(marks)), len(unit) - len(marks))
+        return np.delete(unit[at], marks), np.append(marks - np.arange(len(marks)), len(at) - len(marks))
 
-    def _slowly(self, text: str) -> np.ndarray:
+    def _slowly(self, text: bytes) -> np.ndarray:
         """The ids of a text that has other white space or points elsewhere than after words."""
         if not text:
             return np.zeros(0, np.int32)
-        coded = pa.array(_cut(text), pa.large_string()).dictionary_encode()
-        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        return self._ids(self._numbers(distinct, np.bincount(at, minlength=len(distinct)))[at])[0]
+        unit, at, _ = self._numbers(pa.array([x.encode() for x in _cut(text.decode())], pa.large_binary()))
+        return self._ids(unit[at])[0]
 
     def _ids(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each unit)."""
         n = self.length[unit]
-        return self.flat[np.repeat(self.start[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each whole text."""
+        ends = np.cumsum(n, dtype=np.int64)
+        at = np.repeat(self.start[unit] - (ends - n), n)
+        at += np.arange(len(at))
+        return self.flat[at], n
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each whole text, given in UTF-8."""
+        texts = texts.cast(pa.large_binary())
         if not self.cut:
-            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        plain = [i for i, t in enumerate(texts) if t and not (any(x in t for x in _ODD) or t[0] in " \n" or t[-1] in " \n")]
+            found = self.tokenizer.encode_batch(texts.view(pa.large_string()).to_pylist(), add_special_tokens=False)
+            return [np.array(e.ids, np.int32) for e in found]
+        odd = pc.match_substring_regex(texts.view(pa.large_string()), _ODD).to_numpy(zero_copy_only=False)
+        texts = texts.to_pylist()
+        plain = [i for i in np.flatnonzero(~odd).tolist() if texts[i]]
         out: list[np.ndarray | None] = [None] * len(texts)
         if plain:
             unit, ends = self._units([texts[i] for i in plain])
@@ -213,7 +222,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     folder = folder or shared_path(spark, "tokens")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", "__hash", "__nth"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     rows = rows.select("*", F.xxhash64("text").alias("__hash"), F.monotonically_increasing_id().alias("__nth"))
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
@@ -233,7 +242,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             return pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary())})
 
         for b in slices(batches, 8192, 8 << 20, owner):
-            for key, ids in zip(b.column(0).to_pylist(), units.encode_all(b.column(1).to_pylist()), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), units.encode_all(b.column(1)), strict=True):
                 ids = np.append(ids, np.int32(END_ID))
                 if len(ids) > 4 * BLOCK_IDS and keys:  # a very long text is a group of its own
                     yield group()
