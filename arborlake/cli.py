@@ -82,11 +82,11 @@ def _listing(out: report.Tee, files: DataFrame, config: Config, n: int, size: in
 
 def _delete(out: report.Tee, files: DataFrame, config: Config, root: str, n: int, size: int) -> None:
     if not n:
-        out.write("FileManager: no files matched. No script written.\n")
+        out.write("No file passes the filters, so there is no script.\n")
         return
     file = report.resolve_out(config.out, "delete-files.sh")
     scripts.write_delete_script(file, root, (r.path for r in listing.listing(files).select("path").toLocalIterator()), n, size, config.hard_delete)
-    out.write(f"FileManager: {n} files ({bytes_text(size)}) {'to hard-delete' if config.hard_delete else 'to quarantine'}.\nWrote {os.path.abspath(file)} — INSPECT BEFORE RUNNING.\n")
+    out.write(f"{n} files, {bytes_text(size)}, to {'remove' if config.hard_delete else 'move to the trash'}. Read {os.path.abspath(file)} before you run it.\n")
 
 
 def _duplicates(out: report.Tee, files: DataFrame, config: Config, root: str) -> None:
@@ -96,13 +96,13 @@ def _duplicates(out: report.Tee, files: DataFrame, config: Config, root: str) ->
     names = durable(duplicates.one_name_per_inode(digested), "names")
     total = duplicates.summary(duplicates.groups(names)).first()
     if not total.groups:
-        out.write("Duplicates: none found. No script written.\n")
+        out.write("No two files are alike, so there is no script.\n")
         return
     keepers = duplicates.groups(names).select("size", "digest", "keeper")
     rows = duplicates.members(names).join(keepers, ["size", "digest"]).orderBy(F.desc("waste"), "keeper", "position").select("size", "digest", "position", "n", "path")
     file = report.resolve_out(config.out, "remove-duplicates.sh")
     scripts.write_duplicate_script(file, root, (tuple(r) for r in rows.toLocalIterator()), total.groups, total.redundant_files, total.redundant_bytes, config.hard_delete)
-    out.write(f"Duplicates: {total.groups} groups, {total.redundant_files} redundant files, {bytes_text(total.redundant_bytes)} recoverable.\nWrote {os.path.abspath(file)} — INSPECT BEFORE RUNNING.\n")
+    out.write(f"{total.redundant_files} copies in {total.groups} groups hold {bytes_text(total.redundant_bytes)}. Read {os.path.abspath(file)} before you run it.\n")
 
 
 def _folders(out: report.Tee, spark: SparkSession, files: DataFrame, config: Config, root: str, size: int) -> None:
@@ -129,9 +129,8 @@ def run(config: Config, spark: SparkSession, root: str, stdout=sys.stdout, as_of
         out.write(report.scan_header(config, root))
         entries = durable(scan_tree(spark, root, list(config.excluded)), "entries")
         named = entries.withColumn("extension", extension_of(F.col("name")))
-        tally = filters.filter_tally(named, config.min_size, config.extensions).first().asDict()
-        files, _ = filters.filtered(named, config.min_size, config.extensions)
-        total = aggregate.totals(files).first()
+        files, tally = filters.filtered(named, config.min_size, config.extensions)
+        total = aggregate.totals(files).first()  # the action that fills the tally
         if config.consumer is Consumer.AGGREGATE:
             _aggregate(out, files, as_of or date.today(), spark.conf.get("spark.sql.session.timeZone"))
         elif config.consumer is Consumer.DUPLICATES:
@@ -142,7 +141,7 @@ def run(config: Config, spark: SparkSession, root: str, stdout=sys.stdout, as_of
             _delete(out, files, config, root, total["count"], total.bytes)
         else:
             _listing(out, files, config, total["count"], total.bytes)
-        out.write(report.filter_summary(config, tally))
+        out.write(report.filter_summary(config, tally.get))
         out.write(report.done_line(round((time.time() - began) * 1000), total["count"], total.bytes))
 
 
@@ -160,7 +159,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except SystemExit as e:
         return int(e.code or 0)
     logging.basicConfig(level=getattr(logging, args.log_level.upper(), logging.INFO), format="%(levelname)s %(message)s")
-    errors = [f"{name} must be >= 1" for name in ("producers", "consumers") if getattr(args, name) is not None and getattr(args, name) < 1]
+    counts = ("producers", "consumers", "queue_size")
+    errors = [f"--{name.replace('_', '-')} is less than one" for name in counts if getattr(args, name) is not None and getattr(args, name) < 1]
     config = None
     try:
         config = parse_config(args.target, args.consumer, args.exclude, args.min_size, args.file_extensions, args.action, args.sort, args.order, args.hard_delete, args.min_size_recursive, args.baseline, args.growth_threshold, args.out)
@@ -168,7 +168,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         errors += str(e).split("\n")
     root = os.path.normpath(os.path.abspath(args.target))
     if not errors and not os.path.isdir(root):
-        errors.append(f"Not a directory: {root}")
+        errors.append(f"{root} is no folder")
     for line in errors:
         log.error(line)
     if errors:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from hashlib import sha256
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What must be escaped between double quotes, the backslash first.
@@ -55,6 +55,16 @@ def trash_name(path: Column) -> Column:
     return capped_name(flat_name(path))
 
 
+def distinct_trash_names(files: DataFrame) -> DataFrame:
+    """path and the name of each in one trash folder: of paths with the same name the n-th in order gets ``.n`` from the second on.
+
+    For tables; :class:`TrashNames` names a stream and also steps over names that others have taken with their suffix.
+    """
+    named = files.select("path", trash_name(F.col("path")).alias("name"))
+    n = F.row_number().over(Window.partitionBy("name").orderBy("path"))
+    return named.withColumn("n", n).select("path", F.when(F.col("n") == 1, F.col("name")).otherwise(capped_name(F.concat("name", F.lit("."), F.col("n") - 1))).alias("name"))
+
+
 class TrashNames:
     """Distinct trash names for a stream of paths, in order: a taken name gets ``.1``, ``.2`` and so on."""
 

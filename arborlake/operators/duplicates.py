@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.operators.listing import numbered
+from arborlake.runtime import durable, spread_join
+
 #: Bytes of the first digest.
 HEAD_BYTES = 4096
 
@@ -20,7 +23,8 @@ def head_digest(content: Column) -> Column:
 
 
 def content_digests(files: DataFrame) -> DataFrame:
-    """Candidates of a table that holds its content: ``content`` becomes ``head`` and ``digest``."""
+    """A table that holds its content, with ``head`` and ``digest`` instead: made where rows are read, so that no content is
+    ever shuffled."""
     head = head_digest(F.col("content"))
     return files.withColumn("head", head).withColumn("digest", F.when(F.col("size") <= HEAD_BYTES, F.col("head")).otherwise(F.sha2("content", 256))).drop("content")
 
@@ -48,10 +52,24 @@ def groups(files: DataFrame) -> DataFrame:
 
 
 def members(files: DataFrame) -> DataFrame:
-    """size, digest, path, position (1: the keeper), n, waste: the paths of every group in order."""
-    found = groups(files).select("size", "digest", "n", "waste")
-    at = F.row_number().over(Window.partitionBy("size", "digest").orderBy("path"))
-    return files.join(found, ["size", "digest"]).select("size", "digest", "path", at.alias("position"), "n", "waste")
+    """size, digest, path, position (1: the keeper), n, waste: the paths of every group in order.
+
+    Groups of one are left out first. The places of a group's paths follow from one order of all members, so the
+    paths of a large group are dealt to many tasks.
+    """
+    found = durable(groups(files).select("size", "digest", "n", "waste"), "groups").withColumn("__key", _key())
+    counts = found.select("__key", "n")
+    of = found.select("__key", "n", "waste")
+    some = spread_join(files.withColumn("__key", _key()), of, "__key", counts, F.col("path"))
+    some = durable(numbered(some, F.col("size"), F.col("digest"), F.col("path"), name="__rank"), "members")
+    first = some.groupBy("__key").agg(F.min("__rank").alias("__first"))
+    placed = spread_join(some, first, "__key", counts, F.col("path"))
+    at = (F.col("__rank") - F.col("__first") + 1).cast("int")
+    return placed.select("size", "digest", "path", at.alias("position"), "n", "waste")
+
+
+def _key() -> Column:
+    return F.concat(F.col("size").cast("string"), F.lit(":"), F.col("digest"))
 
 
 def redundant(files: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.functions.paths import folders_up_to, parent_of
-from arborlake.runtime import small_side
+from arborlake.runtime import durable, small_side
 
 
 def direct(files: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def growth(baseline: DataFrame, current: DataFrame, threshold: float) -> DataFra
 
     Folders without a baseline, or with one of no bytes, have no percentage.
     """
-    was = baseline.where("bytes > 0").select("folder", F.col("bytes").alias("was"))
+    was = durable(baseline.where("bytes > 0").select("folder", F.col("bytes").alias("was")), "baseline")
     both = current.select("folder", F.col("bytes").alias("now")).join(small_side(was), "folder")
     pct = (F.col("now") - F.col("was")) * F.lit(100.0) / F.col("was")
     return both.withColumn("pct", pct).where(F.col("pct") > float(threshold)).select("folder", "was", "now", "pct")
@@ -52,4 +52,5 @@ def growth(baseline: DataFrame, current: DataFrame, threshold: float) -> DataFra
 
 def appeared(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """folder, count, bytes of folders without a baseline, or with one of no bytes."""
-    return current.join(small_side(baseline.where("bytes <> 0").select("folder")), "folder", "left_anti")
+    known = durable(baseline.where("bytes <> 0").select("folder"), "baseline")
+    return current.join(small_side(known), "folder", "left_anti")

@@ -28,25 +28,30 @@ def listing(files: DataFrame, key: str = "path", ascending: bool | None = None)
     return files.orderBy(*order(key, ascending))
 
 
-def display(files: DataFrame, key: str) -> DataFrame:
-    """The listing's text columns, the sorted one first."""
+def display(files: DataFrame, key: str, *more: str) -> DataFrame:
+    """The listing's text columns, the sorted one first, and ``more``."""
     columns = {"path": F.col("path"), "modified": timestamp_text(F.col("mtime_ms")), "size": human_bytes_column(F.col("size"))}
-    return files.select(*[columns[c].alias(c) for c in KEYS[key][2]])
+    return files.select(*[columns[c].alias(c) for c in KEYS[key][2]], *more)
 
 
-def ranked(files: DataFrame, key: str = "path", ascending: bool | None = None) -> DataFrame:
-    """Files with their place in the order as ``rank``.
+def numbered(rows: DataFrame, *by: Column, name: str = "rank") -> DataFrame:
+    """``rows`` with their place in the order ``by``, from 1 on.
 
-    The place is the number of rows in all earlier range partitions plus the place within the own one, so no task
-    orders everything.
+    Rows are range-partitioned and sorted once and written with their place within the partition; the rows of all earlier
+    partitions are added to it. So no task orders everything, and nothing is sorted or shuffled again.
     """
-    by = order(key, ascending)
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = files.repartitionByRange(n, *by).withColumn("__part", F.spark_partition_id())
-    placed = durable(placed, "ranked")
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
-    sizes = sizes.select(F.col("__part").alias("__p"), before.alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
-    out = placed.withColumn("__at", within).join(small_side(durable(sizes, "offsets")), F.col("__part") == F.col("__p"))
-    return out.withColumn("rank", F.col("__at") + F.col("__before")).drop("__part", "__p", "__at", "__before")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    placed = durable(placed.withColumn("__id", F.monotonically_increasing_id()), "ranked")  # partition << 33 | place within it
+    part = F.shiftright("__id", 33)
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    offsets = small_side(durable(sizes.select("__p", before.alias("__before")), "offsets"))
+    out = placed.join(offsets, part == F.col("__p"))
+    place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1
+    return out.withColumn(name, place).drop("__id", "__p", "__before")
+
+
+def ranked(files: DataFrame, key: str = "path", ascending: bool | None = None) -> DataFrame:
+    """Files with their place in the order as ``rank``."""
+    return numbered(files, *order(key, ascending))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import UTC, date, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake import relation
 from arborlake.functions.calendar import Boundaries
 from arborlake.functions.paths import base_name
-from arborlake.functions.shell import deletion_line, flat_name, shell_quote, trash_name
+from arborlake.functions.shell import deletion_line, distinct_trash_names, flat_name, shell_quote, trash_name
 from arborlake.functions.sizes import human_bytes, human_bytes_column, size_bucket, timestamp_text
 from arborlake.operators import aggregate, duplicates, filters, folders, listing
-from arborlake.runtime import read_table
+from arborlake.runtime import read_table, shared_path
+from arborlake.sources.baseline import read_baseline, save_baseline
+from arborlake.sources.fstree import scan_tree
 
 CORPUS, SITES, EVENTS = "/corpus", "/", "/events"
 #: Extensions, size and dates that the queries ask for.
@@ -101,6 +103,17 @@ def list_by_date(spark, d):
     return _ranked(_events(spark, d), "date")
 
 
+def _with_rank(rows: DataFrame, *by) -> DataFrame:
+    return listing.numbered(rows, *by).withColumn("rank", F.col("rank").cast("int"))
+
+
+def list_display(spark, d):
+    """The text columns of a listing by size, in its own order of columns."""
+    shown = listing.ranked(_events(spark, d).select("path", "size", "mtime_ms"), "size")
+    cells = listing.display(shown, "size", "rank")
+    return cells.select("rank", F.concat_ws(" | ", *[c for c in cells.columns if c != "rank"]).alias("line"))
+
+
 def folder_direct(spark, d):
     return folders.direct(_docs(spark, d))
 
@@ -108,7 +121,7 @@ def folder_direct(spark, d):
 def folder_rollup(spark, d):
     rows = folders.roll_up(folders.direct(_docs(spark, d)), CORPUS)
     rows = rows.where((F.col("folder") == CORPUS) | (F.col("bytes") >= 10_000))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("bytes"), "folder")))  # a row per folder
+    return _with_rank(rows, F.desc("bytes"), F.asc("folder"))
 
 
 def folder_rollup_collapsed(spark, d):
@@ -129,23 +142,52 @@ def folder_new(spark, d):
     return folders.appeared(_user_folders(events.where(F.col("mtime_ms") < SPLIT_MS)), _user_folders(events))
 
 
+def folder_growth_ranked(spark, d):
+    """The order of the report: most growth first."""
+    return _with_rank(folder_growth(spark, d), F.desc("pct"), F.asc("folder"))
+
+
+def folder_new_ranked(spark, d):
+    """The order of the report: largest first."""
+    return _with_rank(folder_new(spark, d), F.desc("bytes"), F.asc("folder"))
+
+
+def baseline_roundtrip(spark, d):
+    """Growth against a snapshot that was written as a table in the file's format and read back."""
+    events = _events(spark, d)
+    file = shared_path(spark, "baseline")
+    save_baseline(_user_folders(events.where(F.col("mtime_ms") < SPLIT_MS)), datetime(2024, 1, 4, tzinfo=UTC), file)
+    _, before = read_baseline(spark, file)
+    return folders.growth(before, _user_folders(events), 1000.0)
+
+
+def scan_files(spark, d):
+    """A real tree: the folder that the tables lie in, as far as this machine sees it."""
+    return scan_tree(spark, d).select("entry_kind", "name", "size")
+
+
 def dup_size_candidates(spark, d):
-    return duplicates.same_size(_docs(spark, d)).select("path", "size")
+    return duplicates.same_size(_docs(spark, d).drop("content")).select("path", "size")
 
 
 def dup_small_hash(spark, d):
-    files = duplicates.content_digests(duplicates.same_size(_docs(spark, d)))
+    files = duplicates.same_size(duplicates.content_digests(_docs(spark, d)))
     return duplicates.repeated(files, "size", "head").select("path", "size", "head")
 
 
 def _digested(spark, d):
-    return duplicates.content_digests(duplicates.same_size(_docs(spark, d))).select("path", "size", "digest", "doc_id")
+    return duplicates.same_size(duplicates.content_digests(_docs(spark, d))).select("path", "size", "digest", "doc_id")
 
 
 def dup_groups(spark, d):
     return duplicates.groups(_digested(spark, d))
 
 
+def dup_groups_ranked(spark, d):
+    """The order of the script: most to gain first, then by the path that stays."""
+    return _with_rank(dup_groups(spark, d), F.desc("waste"), F.asc("keeper"))
+
+
 def dup_members(spark, d):
     return duplicates.members(_digested(spark, d)).select("path", "size", "position", "n", "waste")
 
@@ -183,14 +225,25 @@ def trash_names(spark, d):
     return _pages(spark, d).select("path", flat_name(F.col("path")).alias("name"), base_name(F.col("path")).alias("base"))
 
 
+def trash_names_long(spark, d):
+    """Names beyond what a file system takes: whole texts as paths."""
+    return read_table(spark, d, "documents").select("doc_id", trash_name(F.col("text")).alias("name"))
+
+
+def trash_names_distinct(spark, d):
+    """Names of paths that meet in one trash folder: the n-th of a name gets a suffix."""
+    files = _pages(spark, d)
+    return distinct_trash_names(files.select("path"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         agg_by_extension, agg_by_size_bucket, agg_by_date_cumulative, agg_by_date_week_clip, agg_prior_years, agg_date_table, agg_totals, agg_grouping_sets,
-        filter_min_size, filter_extensions, filter_tally, exclude_subtree, list_by_path, list_by_size, list_by_date,
-        folder_direct, folder_rollup, folder_rollup_collapsed, folder_growth, folder_new,
-        dup_size_candidates, dup_small_hash, dup_groups, dup_members, dup_redundant, dup_summary, dup_hardlink_collapse,
-        human_sizes, shell_quoting, emit_deletion, trash_names,
+        filter_min_size, filter_extensions, filter_tally, exclude_subtree, list_by_path, list_by_size, list_by_date, list_display,
+        folder_direct, folder_rollup, folder_rollup_collapsed, folder_growth, folder_new, folder_growth_ranked, folder_new_ranked, baseline_roundtrip, scan_files,
+        dup_size_candidates, dup_small_hash, dup_groups, dup_groups_ranked, dup_members, dup_redundant, dup_summary, dup_hardlink_collapse,
+        human_sizes, shell_quoting, emit_deletion, trash_names, trash_names_long, trash_names_distinct,
     )
 }
 
@@ -277,8 +330,24 @@ ORACLE = {
     "dup_summary": f"SELECT count(*) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS redundant_files, CAST(coalesce(sum(waste), 0) AS BIGINT) AS redundant_bytes FROM ({_GROUPS})",
     "dup_hardlink_collapse": f"SELECT size, count(*) AS n, min(path) AS keeper, (count(*) - 1) * size AS waste FROM (SELECT size, digest, doc_id % 2 AS i, min(path) AS path FROM ({_DIGESTED}) GROUP BY ALL) GROUP BY size, digest HAVING count(*) >= 2",
     "human_sizes": f"SELECT path, {_TEXT} AS text, {_CELL} AS cell, {_BUCKET} AS bucket FROM ({_DOCS})",
-    "shell_quoting": f"SELECT doc_id, {_QUOTE.format('left(text, 80)')} AS quoted FROM documents",
+    "shell_quoting": f"SELECT doc_id, {_QUOTE.format('text')} AS quoted FROM documents",
     "emit_deletion": f"SELECT path, 'mv \"' || {_QUOTE.format('path')} || '\" \"$BIN/' || {_QUOTE.format(_FLAT)} || '\"' AS soft, 'rm \"' || {_QUOTE.format('path')} || '\"' AS hard FROM ({_DOCS})",
     "trash_names": f"SELECT path, {_FLAT} AS name, regexp_extract(path, '[^/]*$') AS base FROM ({_PAGES})",
 }
 
+# the order of reports, over the tables above
+ORACLE["folder_growth_ranked"] = f"SELECT *, CAST(row_number() OVER (ORDER BY pct DESC, folder) AS INTEGER) AS rank FROM ({ORACLE['folder_growth']})"
+ORACLE["folder_new_ranked"] = f"SELECT *, CAST(row_number() OVER (ORDER BY bytes DESC, folder) AS INTEGER) AS rank FROM ({ORACLE['folder_new']})"
+ORACLE["dup_groups_ranked"] = f"SELECT *, CAST(row_number() OVER (ORDER BY waste DESC, keeper) AS INTEGER) AS rank FROM ({_GROUPS})"
+ORACLE["baseline_roundtrip"] = ORACLE["folder_growth"]
+ORACLE["list_display"] = f"SELECT row_number() OVER (ORDER BY size DESC, path) AS rank, {_CELL} || ' | ' || path || ' | ' || {_STAMP} AS line FROM ({_EVENTS})"
+
+# long names: the longest start of whole characters within 238 bytes, then a digest
+_LONG = _FLAT.replace("path", "coalesce(text, '')")
+ORACLE["trash_names_long"] = f"""
+WITH f AS (SELECT doc_id, text, {_LONG} AS flat FROM documents),
+c AS (SELECT *, (SELECT max(n) FROM (SELECT unnest(range(0, 239)) AS n) WHERE octet_length(encode(left(flat, CAST(n AS BIGINT)))) <= 238) AS chars FROM f)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN octet_length(encode(flat)) <= 255 THEN flat ELSE left(flat, chars) || '~' || left(sha256(encode(flat)), 16) END AS name FROM c"""
+ORACLE["trash_names_distinct"] = f"""
+SELECT path, CASE WHEN n = 1 THEN name ELSE name || '.' || (n - 1) END AS name FROM (
+  SELECT path, {_FLAT} AS name, row_number() OVER (PARTITION BY {_FLAT} ORDER BY path) AS n FROM ({_PAGES}))"""

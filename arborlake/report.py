@@ -20,7 +20,7 @@ def table(header: str, width: int, rows: Iterable[tuple[str, int, int]], count:
 
 
 def aggregate_report(extensions, buckets, dates, count: int, size: int) -> str:
-    parts = (("By extension:", "extension", 16, extensions), ("By size bucket:", "bucket", 20, buckets), ("By date bucket (cumulative - today is also in this week/month/year):", "date", 16, dates))
+    parts = (("Extensions", "extension", 16, extensions), ("Sizes", "bucket", 20, buckets), ("Dates (each of the first four holds those above it)", "date", 16, dates))
     return "".join(f"\n{title}\n{table(header, width, rows, count, size)}" for title, header, width, rows in parts)
 
 
@@ -74,7 +74,7 @@ def filter_summary(config: Config, tally: dict[str, int]) -> str:
     if config.extensions is not None:
         out += f"\nSkipped (extension not in {display_extensions(config.extensions)}): {tally['ext_skipped_n']:,} files ({bytes_text(tally['ext_skipped_bytes'])}).\n"
     if tally["inaccessible_dirs"] or tally["inaccessible_files"]:
-        out += f"\nInaccessible (permission denied or IO error): {tally['inaccessible_dirs']:,} directories, {tally['inaccessible_files']:,} files — their contents are absent from this report.\n"
+        out += f"\nNot readable: {tally['inaccessible_dirs']:,} folders and {tally['inaccessible_files']:,} files, which this report leaves out.\n"
     return out
 
 

@@ -10,47 +10,58 @@ from datetime import datetime
 from arborlake.functions.shell import TrashNames, quoted
 from arborlake.functions.sizes import bytes_text
 
-_START = """#!/usr/bin/env bash
-set -euo pipefail
-
-CREATED={created}
-ELAPSED_MIN=$(( ( $(date +%s) - CREATED ) / 60 ))
-if [ "$ELAPSED_MIN" -gt 10 ]; then
-  RED='' PLAIN=''
-  if [ -t 2 ] && [ -z "${{NO_COLOR:-}}" ]; then RED=$'\\033[1;31m' PLAIN=$'\\033[0m'; fi
-  echo "${{RED}}WARNING: made $ELAPSED_MIN minutes ago; the tree may have changed since. Scan again if unsure.${{PLAIN}}" >&2
-fi
-
-# Made by arborlake, consumer {consumer}, at {at}
-# Source tree: {root}
-# {what}
-# Mode: {mode}
-# READ EVERY LINE BEFORE RUNNING THIS SCRIPT.
+#: Minutes after which a script says that its list is old.
+OLD_AFTER = 10
 
-{trash}cat <<'BANNER'
-
-  YOU ARE ABOUT TO {verb} {files} FILES ({size})
-  {comfort}
-
-BANNER
-read -r -p "Type {prompt} to proceed: " CONFIRM
-[ "$CONFIRM" = "{answer}" ] || {{ echo "Aborted."; exit 1; }}
+_HEAD = """#!/usr/bin/env bash
+set -euo pipefail
 
-{make}"""
+# Clean-up list of arborlake ({consumer}), {at}.
+#   tree  {root}
+#   list  {what}
+#   does  {does}
+# Commands follow the question at the end of this head. Go through them and strike out what should stay.
+
+age_note() {{
+  local minutes=$(( ($(date +%s) - {created}) / 60 )) on='' off=''
+  (( minutes > {old} )) || return 0
+  [[ -t 2 && -z ${{NO_COLOR-}} ]] && on=$'\\e[33m' && off=$'\\e[0m'
+  printf '%sNote: this list is %d minutes old. Files may have changed; a new scan makes a new list.%s\\n' "$on" "$minutes" "$off" >&2
+}}
+
+consent() {{
+  local reply=''
+  printf '%s\\n' "$1"
+  read -r -p "$2 " reply || true
+  [[ $reply == "$3" ]] && return 0
+  echo "Left everything as it is."
+  exit 1
+}}
+
+age_note
+consent "{files} files, {size}: {effect}" "{question}" "{answer}"
+{trash}"""
+
+_TRASH = """
+BIN=$(dirname -- "$(readlink -f -- "${BASH_SOURCE[0]}")")/trash
+[[ -d $BIN ]] || mkdir -p -- "$BIN"
+"""
+
+# per mode: what the head says, what happens, the question and its answer
+_SOFT = ("mv, into the folder trash beside this script", "they go to the trash folder, from where they can be taken back.", "Move them? (y)", "y")
+_HARD = ("rm", "they will be gone for good.", "Remove them? Answer DELETE to go on:", "DELETE")
 
 
 def preamble(consumer: str, root: str, what: str, files: int, size: int, hard: bool, created: int | None = None) -> str:
-    """Everything before the first deletion: staleness warning, header, trash folder, confirmation."""
+    """Everything before the first command: what the list is, its age, the question, and the trash folder once agreed."""
     created = int(time.time()) if created is None else created
     # a line end in the tree's name must not end the comment
     root = os.path.abspath(root).replace("\n", "?").replace("\r", "?")
-    return _START.format(
-        created=created, consumer=consumer, at=f"{datetime.fromtimestamp(created):%Y-%m-%d %H:%M:%S}", root=root, what=what, files=files, size=bytes_text(size),
-        mode="HARD DELETE (rm)" if hard else "SOFT DELETE (mv to the trash folder)", verb="DELETE" if hard else "MOVE",
-        comfort="This cannot be undone." if hard else "They can be moved back from the trash folder.",
-        prompt="DELETE in capitals" if hard else "y", answer="DELETE" if hard else "y",
-        trash="" if hard else 'BIN="$(cd "$(dirname "$0")" && pwd)/trash"\n\n', make="" if hard else 'mkdir -p "$BIN"\n\n',
-    )
+    does, effect, question, answer = _HARD if hard else _SOFT
+    return _HEAD.format(
+        consumer=consumer, at=f"{datetime.fromtimestamp(created):%d %b %Y %H:%M}", root=root, what=what, does=does, created=created, old=OLD_AFTER,
+        files=files, size=bytes_text(size), effect=effect, question=question, answer=answer, trash="" if hard else _TRASH,
+    ) + "\n"
 
 
 def deletion(path: str, names: TrashNames, hard: bool) -> str:
@@ -66,7 +77,7 @@ def _write(file: str, parts: Iterable[str]) -> None:
 def write_delete_script(file: str, root: str, paths: Iterable[str], files: int, size: int, hard: bool) -> None:
     """A script for all ``paths``, which may be a stream."""
     names = TrashNames()
-    what = f"Files: {files}  Bytes: {bytes_text(size)}"
+    what = f"{files} files, {bytes_text(size)}"
     _write(file, (x for parts in ([preamble("filemanager", root, what, files, size, hard)], (deletion(p, names, hard) for p in paths)) for x in parts))
 
 
@@ -77,11 +88,11 @@ def write_duplicate_script(file: str, root: str, members: Iterable[tuple[int, st
         names = TrashNames()
         for each, _, position, n, path in members:
             if position == 1:
-                yield f"\n# ---- size={bytes_text(each)}  count={n}  waste={bytes_text((n - 1) * each)} ----\n"
-                kept = quoted(path).replace("\n", "?").replace("\r", "?")
-                yield f'# {"rm" if hard else "mv"} "{kept}"   # KEPT (first by sort order)\n'
+                yield f"\n# {n} copies of {bytes_text(each)} each, {bytes_text((n - 1) * each)} to gain\n"
+                stays = quoted(path).replace("\n", "?").replace("\r", "?")
+                yield f'# KEPT: "{stays}"\n'
             else:
                 yield deletion(path, names, hard)
 
-    what = f"Groups: {groups}  Redundant files: {files}"
+    what = f"{files} copies beyond the first, in {groups} groups"
     _write(file, (x for parts in ([preamble("duplicates", root, what, files, size, hard)], lines()) for x in parts))

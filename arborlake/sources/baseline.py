@@ -22,6 +22,19 @@ def write_baseline(file: str, at: datetime, rows: Iterable[tuple[str, int, int]]
     os.replace(f"{file}.tmp", file)
 
 
+def save_baseline(folders: DataFrame, at: datetime, folder: str) -> None:
+    """The same lines as a folder of text files, written by the tasks: for snapshots too large for the driver.
+
+    Raises (within the job) if a folder name has a line end.
+    """
+    spark = folders.sparkSession
+    line = F.concat_ws("\t", F.col("bytes").cast("string"), F.col("count").cast("string"), "folder")
+    bad = F.raise_error(F.concat(F.lit("a folder name with a line end cannot be stored: "), "folder")).cast("string")
+    lines = folders.select(F.when(F.col("folder").rlike("[\r\n]"), bad).otherwise(line).alias("value"))
+    head = spark.createDataFrame([(f"# {at.astimezone(UTC).isoformat().replace('+00:00', 'Z')}",)], "value string")
+    head.unionAll(lines).write.text(folder)
+
+
 def read_baseline(spark: SparkSession, file: str) -> tuple[datetime, DataFrame]:
     """(instant, folder and bytes); of a repeated folder the last line counts. Raises ValueError if malformed."""
     lines = spark.read.text(file).select("value", F.monotonically_increasing_id().alias("at")).where("value <> ''")

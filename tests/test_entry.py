@@ -15,7 +15,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", inventory.QUERIES)
+@pytest.mark.parametrize("name", inventory.ORACLE)
 def test_query_equals_sql(spark, db, name):
     got = inventory.QUERIES[name](spark, DATA)
     want = db.sql(inventory.ORACLE[name])
@@ -29,3 +29,8 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 5 and set(inventory.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_scan_of_the_tables_folder(spark):
+    got = inventory.QUERIES["scan_files"](spark, DATA).collect()
+    assert {f"{t}.parquet" for t in TABLES} <= {r.name for r in got} | {r.name.split("/")[0] for r in got} and set(inventory.QUERIES) - set(inventory.ORACLE) == {"scan_files"}
