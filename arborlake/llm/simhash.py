@@ -35,6 +35,8 @@ BITS = 64
 PAIRWISE = 48
 #: Pairs per member from which a bucket of the sweep gives a star forest.
 MOST_PAIRS = 1
+#: One table in so many is among those whose links make parts first.
+EARLY = 10
 #: Fingerprints in a block of a dense bucket (radius over 2).
 BLOCK = 1024
 #: Groups of four bits, of 16, that the second signatures of candidates share: at a Jaccard similarity of 0.8 about 13, of unrelated texts one.
@@ -196,19 +198,28 @@ def _star_forest(x: np.ndarray, sig: np.ndarray, node: np.ndarray, radius: int)
     return _spanning(len(x), int(np.argmin(node)) if len(x) else 0, lambda at, rest: (np.bitwise_count(x[rest] ^ x[at]) <= radius) & _alike(sig[rest], sig[at]))
 
 
+def _between_parts(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of different parts that the links (positions) join, the smaller part first."""
+    x, y = part[a], part[b]
+    pairs = np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y]
+    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+    return pairs[:, 0], pairs[:, 1]
+
+
 def _blocks(members: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) between nodes of dense buckets (t, key, fp, sig, node, n) for any radius, by pairs of bounded blocks."""
+    """Links (a, b) between the parts of nodes of dense buckets (t, key, fp, sig, node, part, n) for any radius, by pairs of
+    bounded blocks."""
 
     def run(table: pa.Table) -> pa.Table:
         fp, sig = (table.column(c).to_numpy().astype("<u8") for c in ("fp", "sig"))
-        node = table.column("node").to_numpy()
-        a, b = _star_forest(fp, sig, node, radius)
-        return pa.table({"a": node[a], "b": node[b]})
-
-    n = F.ceil(F.col("n") / BLOCK).cast("long")
-    own = members.select("t", "key", "fp", "sig", "node", n.alias("n"), F.pmod(F.xxhash64("node"), n).alias("i"))
-    dealt = own.select("t", "key", "fp", "sig", "node", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    dealt = dealt.select("t", "key", "fp", "sig", "node", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+        node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
+        a, b = _between_parts(part, *_star_forest(fp, sig, node, radius))
+        return pa.table({"a": a, "b": b})
+
+    n, keep = F.ceil(F.col("n") / BLOCK).cast("long"), ["t", "key", "fp", "sig", "node", "part"]
+    own = members.select(*keep, n.alias("n"), F.pmod(F.xxhash64("node"), n).alias("i"))
+    dealt = own.select(*keep, "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    dealt = dealt.select(*keep, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
     return dealt.groupBy("t", "key", "i", "j").applyInArrow(run, "a long, b long")
 
 
@@ -224,7 +235,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     twos = buckets.where("n = 2").where(_near(F.col("a"), F.col("b"), radius)).select("a", "b")
     members = durable(dealt.join(small_side(buckets.where("n > 2").select("t", "key", "n")), ["t", "key"]), "members")
     dense = members.where(F.col("n") > PAIRWISE)
-    dense = _balls(dense, masks) if radius == 2 else _blocks(dense.withColumns({"sig": F.lit(0).cast("long"), "node": F.col("fp")}), radius)
+    dense = _balls(dense, masks) if radius == 2 else _blocks(dense.withColumns({"sig": F.lit(0).cast("long"), "node": F.col("fp"), "part": F.col("fp")}), radius)
     return twos.unionAll(_pairs(members.where(F.col("n") <= PAIRWISE), radius)).unionAll(dense).distinct()
 
 
@@ -272,11 +283,11 @@ def block_masks(blocks: int, kept: int) -> list[int]:
 def _sweep(radius: int):
     """Compares neighbours in partitions sorted by table and key: (kind, a, b) rows.
 
-    Links within buckets of up to PAIRWISE members have kind 0, or 2 where they stand for more (a star forest); a larger
-    bucket gives one row (1, table, key).
+    Only links between different parts are given. Those within buckets of up to PAIRWISE members have kind 0, or 2 where they
+    stand for more (a star forest; a and b are parts then, not nodes); a larger bucket gives one row (1, table, key).
     """
 
-    def emit(t: np.ndarray, key: np.ndarray, fp: np.ndarray, sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    def emit(t: np.ndarray, key: np.ndarray, fp: np.ndarray, sig: np.ndarray, node: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])))) if len(t) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(t)))
         big = start[size > PAIRWISE]
@@ -298,15 +309,15 @@ def _sweep(radius: int):
         stars = []
         for i in many:
             own = slice(start[i], start[i] + size[i])
-            stars.append(tuple(p + start[i] for p in _star_forest(x[own], s[own], node[own], radius)))
-        few = ~np.isin(bucket, many)
+            stars.append(_between_parts(part[own], *_star_forest(x[own], s[own], node[own], radius)))
+        few = ~np.isin(bucket, many) & (part[a] != part[b])
         kind = np.repeat([0, 2, 1], [few.sum(), sum(len(p) for p, _ in stars), len(big)])
-        a = np.concatenate([node[a[few]], *(node[p] for p, _ in stars), t[big].astype(np.int64)])
-        b = np.concatenate([node[b[few]], *(node[q] for _, q in stars), key[big]])
+        a = np.concatenate([node[a[few]], *(p for p, _ in stars), t[big].astype(np.int64)])
+        b = np.concatenate([node[b[few]], *(q for _, q in stars), key[big]])
         return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 4]
+        rest = [np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 5]
         for batch in batches:
             cols = [np.concatenate((old, batch.column(i).to_numpy())) for i, old in enumerate(rest)]
             if not len(cols[0]):
@@ -320,32 +331,38 @@ def _sweep(radius: int):
     return run
 
 
-def _candidates(fps: DataFrame, radius: int, blocks: int, kept: int) -> DataFrame:
-    """(a, b, star): pairs of nodes whose fingerprints agree under a block mask, differ in up to ``radius`` bits and have
-    second signatures that are alike. Buckets with many such pairs give a star forest (star) that connects the same nodes.
+def _candidates(fps: DataFrame, radius: int, masks: list[int]) -> DataFrame:
+    """(a, b, star): pairs of nodes whose fingerprints agree under a mask, differ in up to ``radius`` bits and have second
+    signatures that are alike, but for those of one part. Buckets with many such pairs give a star forest (star) that
+    connects the same parts; a and b are parts then.
 
-    fps: node (default fp), fp, sig (default 0), a row per node. One shuffle deals every node to its tables. Buckets of more
-    than PAIRWISE members are named, not compared, and then dealt in blocks to many tasks.
+    fps: node (default fp), fp, sig (default 0), part (default node), a row per node. One shuffle deals every node to its
+    tables. Buckets of more than PAIRWISE members are named, not compared, and then dealt in blocks to many tasks.
     """
-    masks = F.array(*map(F.lit, block_masks(blocks, kept)))
+    masks = F.array(*map(F.lit, masks))
     node = F.col("node" if "node" in fps.columns else "fp")
     sig = F.col("sig") if "sig" in fps.columns else F.lit(0).cast("long")
+    part = F.col("part") if "part" in fps.columns else node
     key = F.col("fp").bitwiseAND(F.get(masks, F.col("t")))
-    dealt = fps.select(node.alias("node"), "fp", sig.alias("sig"), F.explode(F.sequence(F.lit(0), F.size(masks) - 1)).alias("t"))
+    tables = F.explode(F.sequence(F.lit(0), F.size(masks) - 1)).alias("t")
+    dealt = fps.select(node.alias("node"), "fp", sig.alias("sig"), part.alias("part"), tables)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = ["t", key.alias("key"), "fp", "sig", "node"]
-    swept = durable(dealt.repartition(n, F.col("t"), key).select(*cols).sortWithinPartitions("t", "key").mapInArrow(_sweep(radius), "kind int, a long, b long"), "swept")
+    cols = ["t", key.alias("key"), "fp", "sig", "node", "part"]
+    near = dealt.repartition(n, F.col("t"), key).select(*cols).sortWithinPartitions("t", "key")
+    swept = durable(near.mapInArrow(_sweep(radius), "kind int, a long, b long"), "swept")
     named = swept.where("kind = 1").select(F.col("a").cast("int").alias("dt"), F.col("b").alias("dk")).distinct()
-    members = durable(dealt.select(*cols).join(small_side(durable(named, "dense")), (F.col("t") == F.col("dt")) & (F.col("key") == F.col("dk"))).select("t", "key", "fp", "sig", "node"), "members")
+    dense = (F.col("t") == F.col("dt")) & (F.col("key") == F.col("dk"))
+    members = dealt.select(*cols).join(small_side(durable(named, "dense")), dense).drop("dt", "dk")
+    members = durable(members, "members")
     sizes = durable(members.groupBy("t", "key").agg(F.count("*").alias("n")), "sizes")
-    dense = _blocks(members.join(small_side(sizes), ["t", "key"]), radius).withColumn("star", F.lit(True))
-    found = swept.where("kind <> 1").select("a", "b", (F.col("kind") == 2).alias("star")).unionAll(dense)
+    stars = _blocks(members.join(small_side(sizes), ["t", "key"]), radius).withColumn("star", F.lit(True))
+    found = swept.where("kind <> 1").select("a", "b", (F.col("kind") == 2).alias("star")).unionAll(stars)
     return found.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
 
 
 def near_links(fps: DataFrame, radius: int, blocks: int, kept: int) -> DataFrame:
     """(a, b): links of up to ``radius`` bits that agree under a block mask and connect all of those within ``blocks - kept`` bits."""
-    return _candidates(fps, radius, blocks, kept).select("a", "b")
+    return _candidates(fps, radius, block_masks(blocks, kept)).select("a", "b")
 
 
 def _signature(u: np.ndarray) -> int:
@@ -427,9 +444,9 @@ def _verified(rows: DataFrame, members: DataFrame, shingle: int, similarity: flo
     return dealt.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _near_links(prints: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float, radius: int, blocks: int, kept: int, sketch: int) -> DataFrame:
-    """(a, b): verified links between nodes, which connect all that candidates with the similarity connect."""
-    found = durable(_candidates(nodes.select("node", "fp", "sig"), radius, blocks, kept), "links")
+def _likely_links(prints: DataFrame, nodes: DataFrame, similarity: float, radius: int, masks: list[int], sketch: int) -> DataFrame:
+    """(a, b): candidates of nodes or parts, without pairs that sketches show to be clearly distant."""
+    found = durable(_candidates(nodes, radius, masks), "links")
     pairs = found.where("NOT star")
     ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
     one = prints.join(small_side(ends), "node").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
@@ -438,7 +455,22 @@ def _near_links(prints: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: i
     both = both.join(one.select(F.col("node").alias("b"), "n", F.col("sketch").alias("y")), "b")
     like_sizes = F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n")
     near = both.where(like_sizes & (similar(F.col("x"), F.col("y"), sketch) >= min(DISTANT, similarity)))
-    parts = connected_components(near.select("a", "b").unionAll(found.where("star").select("a", "b")))
+    return near.select("a", "b").unionAll(found.where("star").select("a", "b"))
+
+
+def _near_links(prints: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float, radius: int, masks: list[int], sketch: int) -> DataFrame:
+    """(a, b): verified links between nodes, which connect all that candidates with the similarity connect.
+
+    The first tables' links make parts of nodes; of the others only links between different parts are needed, so a large
+    group does not give its links once a table.
+    """
+    rest = [m for i, m in enumerate(masks) if i % EARLY]
+    early = _likely_links(prints, nodes.select("node", "fp", "sig"), similarity, radius, masks[::EARLY], sketch)
+    roots = durable(connected_components(early), "early")
+    parted = nodes.join(roots.withColumnRenamed("root", "part"), "node", "left")
+    parted = durable(parted.select("node", "fp", "sig", F.coalesce("part", "node").alias("part")), "parted")
+    late = _likely_links(prints, parted, similarity, radius, rest, sketch)
+    parts = connected_components(late.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     members = durable(nodes.join(durable(parts, "parts"), "node").select("first", "node", "fp", "n", "root"), "candidates")
     many = durable(members.groupBy("root").agg(F.ceil(F.sum("n") / SETS).cast("long").alias("k"), F.count("*").alias("m")), "components")
     members = spread_join(members.drop("n"), many.select("root", "k"), "root", many.select("root", F.col("m").alias("n")), F.col("node"))
@@ -467,7 +499,7 @@ def drop_near_duplicates(
     # equal sets of shingles have equal fingerprints but for repeats; the least of each stands for the set
     least = [F.min(c).alias(c) for c in ("fp", "sig", "n")]
     nodes = durable(with_words.groupBy("node").agg(F.min("doc_id").alias("first"), *least, F.count("*").alias("rows")), "nodes")
-    links_ = durable(_near_links(prints, nodes, rows, shingle, similarity, radius, blocks, kept, sketch), "links")
+    links_ = durable(_near_links(prints, nodes, rows, shingle, similarity, radius, block_masks(blocks, kept), sketch), "links")
     named = named_components(nodes.select("node", "first"), links_)
     every = spread_join(with_words.select("node", "doc_id", "h"), named, "node", nodes.select("node", F.col("rows").alias("n")), F.col("doc_id"))
     copies = durable(every.where("doc_id <> component_id").select(F.col("doc_id").alias("copy"), F.col("h").alias("copy_h")).distinct(), "copies")
