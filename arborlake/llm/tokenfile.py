@@ -26,7 +26,7 @@ from arborlake.llm.text import arrow_columns, kept, slices, utf8
 from arborlake.runtime import durable, shared_path, small_side
 
 #: Ids in a block and in a group, and units of text whose ids a worker remembers.
-BLOCK_IDS, GROUP_IDS, REMEMBERED = 16_384, 1_048_576, 500_000
+BLOCK_IDS, GROUP_IDS, REMEMBERED = 16_384, 1_048_576, 300_000
 #: Groups in a file, which is read as one row.
 FILE_GROUPS = 16
 END_ID = 0
@@ -241,7 +241,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             keys, lengths, parts, cuts, held, block = [], [], [], [], 0, 0
             return pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary())})
 
-        for b in slices(batches, 8192, 8 << 20, owner):
+        for b in slices(batches, 4096, 3 << 20, owner):
             for key, ids in zip(b.column(0).to_pylist(), units.encode_all(b.column(1)), strict=True):
                 ids = np.append(ids, np.int32(END_ID))
                 if len(ids) > 4 * BLOCK_IDS and keys:  # a very long text is a group of its own
