@@ -43,8 +43,9 @@ def with_rule(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     none = F.lit(None).cast("struct<rule:string,action:string>")
     if not rules:
         return rows.withColumn("r", none)
-    spark, found = rows.sparkSession, []
-    table = spark.createDataFrame(rules, "action string, name string, prefix string")
+    names, found = ("action", "name", "prefix"), []
+    given = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(names, r, strict=True)]) for r in rules])
+    table = rows.sparkSession.range(1).select(F.inline(given))
     rule = F.concat("name", "prefix")
     choice = F.struct(F.length(rule).alias("n"), rule.alias("rule"), (F.col("action") == "allow").alias("allow"), "action", "prefix")
     for depth in sorted({name.count(".") + 1 for _, name, _ in rules}):
