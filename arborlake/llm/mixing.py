@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlake.llm.text import positional
+from arborlake.llm.text import positional, release
 from arborlake.runtime import durable, small_side
 
 #: Documents in a leaf of the reduction tree, and residuals combined by one inner node.
@@ -86,6 +86,7 @@ def _rounder(level: int, seed: int, last: bool):
         group = group.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("size", "ascending"), ("h", "ascending")])
         size, p, order = (group.column(c).to_numpy() for c in ("size", "p", "order"))
         p = round_fractions(size.astype(np.float64), p, order, level, seed, last)
+        release(group)
         at = group.schema.get_field_index
         group = group.set_column(at("c"), "c", pa.array(group.column("c").to_numpy() + (p == 1)))
         return group.set_column(at("p"), "p", pa.array(np.where(p == 1, 0.0, p)))

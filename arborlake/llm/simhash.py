@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.components import connected_components
-from arborlake.llm.text import positional, slices, space_words, utf8
+from arborlake.llm.text import forget, positional, release, slices, space_words, utf8
 from arborlake.runtime import durable, small_side, spread_join
 
 BITS = 64
@@ -214,6 +214,7 @@ def _blocks(members: DataFrame, radius: int) -> DataFrame:
         fp, sig = (table.column(c).to_numpy().astype("<u8") for c in ("fp", "sig"))
         node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
         a, b = _between_parts(part, *_star_forest(fp, sig, node, radius))
+        release(table)
         return pa.table({"a": a, "b": b})
 
     n, keep = F.ceil(F.col("n") / BLOCK).cast("long"), ["t", "key", "fp", "sig", "node", "part"]
@@ -325,8 +326,9 @@ def _sweep(radius: int):
             last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
             cut = int(np.argmax(last))
             yield emit(*(c[:cut] for c in cols))
-            rest = [c[cut:][: PAIRWISE + 1] for c in cols]  # one more than are compared shows that a bucket is dense
+            rest = [c[cut:][: PAIRWISE + 1].copy() for c in cols]  # one more than are compared shows that a bucket is dense
         yield emit(*rest)
+        forget()
 
     return run
 
@@ -435,6 +437,7 @@ def _verified(rows: DataFrame, members: DataFrame, shingle: int, similarity: flo
             return hit
 
         a, b = _spanning(len(x), _hub(x), near)
+        release(table)
         return pa.table({"a": node[a], "b": node[b]})
 
     text = rows.select(F.col("doc_id").alias("first"), "text").join(small_side(members), "first").select("node", "fp", "root", "k", "text")

@@ -59,6 +59,12 @@ def forget() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release(table: pa.Table) -> None:
+    """:func:`forget` after a group's work, if the group was large enough to matter."""
+    if table.nbytes > 1 << 20:
+        forget()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20, owner: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows`` rows and about ``size`` bytes (one row at least), which bounds what Python
     holds at once. Before the first and after the last, what others than ``owner`` remember is forgotten."""
