@@ -12,6 +12,11 @@ balls: two fingerprints differ in 2 bits or fewer exactly if the sets of values
 each meet; so each member sends one row per masked-out bit, and the members that meet at a value are all
 linked to the smallest of them. For larger radii a dense bucket is dealt in blocks to many tasks, each of
 which returns only a spanning star forest of its real links.
+
+Fingerprints alone miss pairs of a given Jaccard similarity: their bits differ by chance. So near-duplicate removal adds an
+exact search to them. All shingles have one order, rare ones first. Of two sets with a similarity of t, each has one of the
+shared shingles among its first n - ceil(t n) + 1; so sets that share none of those are left out, and of the others only those
+whose sizes or parities (of how many shingles fall into each of some classes) differ more than the similarity allows.
 """
 
 from __future__ import annotations
@@ -45,6 +50,10 @@ LEAST_ALIKE = 7
 DISTANT = 0.5
 #: Distinct shingles of all members of a candidate component that are held at once (a block; two blocks meet in a task).
 SETS = 1 << 18
+#: Fingerprint bits up to which candidates are looked for if the similarity alone decides.
+CLOSE = 14
+#: Classes of shingles that are counted to order them (a power of two), and rows that these counts are dealt in.
+CLASSES, PARTS = 1 << 20, 16
 #: Hashes summed at once and bytes of text cut into words at once, which bounds memory for very long texts.
 _CHUNK, _PIECE = 1 << 16, 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -381,22 +390,211 @@ def _node(u: np.ndarray) -> int:
 
 
 def _sketches(rows: DataFrame, shingle: int, size: int) -> DataFrame:
-    """(doc_id, h, fp, node, n, sig, sketch) of each (doc_id, h, text): fingerprint, digest and size of the set of shingles,
-    second signature, and the smallest distinct shingle hashes, ``size`` at most."""
-    fields = {"doc_id": pa.int64(), "h": pa.int64(), "fp": pa.int64(), "node": pa.int64(), "n": pa.int64(), "sig": pa.int64(), "sketch": pa.list_(pa.int32())}
+    """(doc_id, h, fp, node, n, sig, sketch, counts) of each (doc_id, h, text): fingerprint, digest and size of the set of
+    shingles, second signature, and the smallest distinct shingle hashes, ``size`` at most.
+
+    Rows with counts are no documents but a task's numbers of shingles by class, in PARTS rows (n: which)."""
+    fields = {"doc_id": pa.int64(), "h": pa.int64(), "fp": pa.int64(), "node": pa.int64(), "n": pa.int64(), "sig": pa.int64(), "sketch": pa.list_(pa.int32()), "counts": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CLASSES, np.uint32)
         for b in slices(batches):
             out = []
             for text in b.column(2):
                 votes = Majority()
                 u = np.unique(np.concatenate([np.zeros(0, "<u8"), *map(votes.add, hashes(text.as_py(), shingle))]))
                 least = np.unique((u[: 2 * size] >> np.uint64(33)).astype(np.int32))[:size]
-                out.append((votes.bits(), _node(u), len(u), _signature(u), least))
+                out.append((votes.bits(), _node(u), len(u), _signature(u), least, None))
+                counts[u & np.uint64(CLASSES - 1)] += 1
             made = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(list(fields.values())[2:])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], list(fields))
+        for i, part in enumerate(counts.reshape(PARTS, -1)):
+            if part.any():
+                kind = "<u1" if part.max() < 1 << 8 else "<u2" if part.max() < 1 << 16 else "<u4"
+                row = {"n": i, "counts": part.astype(kind).tobytes()}
+                yield pa.RecordBatch.from_arrays([pa.array([row.get(c)], k) for c, k in fields.items()], list(fields))
+
+    return rows.mapInArrow(run, "doc_id long, h long, fp long, node long, n long, sig long, sketch array<int>, counts binary")
+
+
+def _levels(counts: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each class are (8 levels an octave), from the tasks' (n, counts)."""
 
-    return rows.mapInArrow(run, "doc_id long, h long, fp long, node long, n long, sig long, sketch array<int>")
+    def run(table: pa.Table) -> pa.Table:
+        each, total = CLASSES // PARTS, np.zeros(CLASSES // PARTS, np.int64)
+        for c in table.column("counts"):
+            raw = c.as_buffer()
+            total += np.frombuffer(raw, f"<u{raw.size // each}")
+        level = np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
+        return pa.table({"n": table.column("n")[:1], "level": pa.array([level.tobytes()], pa.binary())})
+
+    out = np.zeros((PARTS, CLASSES // PARTS), np.uint8)
+    for row in counts.groupBy("n").applyInArrow(run, "n long, level binary").collect():
+        out[row.n] = np.frombuffer(row.level, np.uint8)
+    return out.reshape(-1)
+
+
+def _parity(u: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the hashes falls into each class, in 64-bit words: 512 classes, or as many as hashes if there are
+    more. Each hash that only one of two sets has changes one of their bits."""
+    classes = min(max(512, 1 << max(0, len(u) - 1).bit_length()), 1 << 16)
+    odd = np.bincount((u & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """The parities of fewer classes."""
+    while len(parity) > words:
+        parity = parity[: len(parity) // 2] ^ parity[len(parity) // 2 :]
+    return parity
+
+
+class Sizes:
+    """Sizes and parities of sets, which show most pairs to lack the similarity; never one that has it."""
+
+    def __init__(self, n: np.ndarray, parities: list[np.ndarray], similarity: float):
+        self.n, self.full, self.similarity = n, parities, similarity
+        self.flat = np.stack([_folded(p, 8) for p in parities]) if parities else np.zeros((0, 8), "<u8")
+
+    def may(self, at: int, rest: np.ndarray) -> np.ndarray:
+        """Which of the sets ``rest`` may have the similarity with the set ``at``."""
+        own, other = self.n[at], self.n[rest]
+        hit = np.minimum(other, own) >= self.similarity * np.maximum(other, own)
+        room = (other + own) * (1 - self.similarity) / (1 + self.similarity) + 1e-6  # hashes that only one of the two may have
+        some = np.flatnonzero(hit)
+        hit[some] = np.bitwise_count(self.flat[rest[some]] ^ self.flat[at]).sum(axis=1, dtype=np.int64) <= room[some]
+        if len(self.full[at]) > 8:
+            for i in np.flatnonzero(hit):
+                x, y = self.full[at], self.full[rest[i]]
+                words = min(len(x), len(y))
+                hit[i] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(dtype=np.int64) <= room[i]
+        return hit
+
+
+def _prefixes(rows: DataFrame, shingle: int, similarity: float, levels: np.ndarray) -> DataFrame:
+    """(doc_id, node, n, parity, prefix) of each (doc_id, text) with words: digest, size and parities of the set of shingles, and its
+    first shingles in the order of their level and hash, of which two sets with the similarity share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [_distinct(t.as_py(), shingle) for t in b.column(1)]
+            some = [i for i, u in enumerate(sets) if len(u)]
+            sets, first = [sets[i] for i in some], []
+            for u in sets:
+                order = np.argsort(levels[u & np.uint64(CLASSES - 1)], kind="stable")
+                first.append(u[order[: len(u) - int(np.ceil(similarity * len(u) - 1e-9 * len(u))) + 1]].view("<i8"))
+            cols = [
+                b.column(0).take(pa.array(some, pa.int64())),
+                pa.array([_node(u) for u in sets], pa.int64()),
+                pa.array([len(u) for u in sets], pa.int64()),
+                pa.array([_parity(u).tobytes() for u in sets], pa.binary()),
+                pa.array(first, pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", "parity", "prefix"])
+
+    return rows.mapInArrow(run, "doc_id long, node long, n long, parity binary, prefix array<long>")
+
+
+def _share(similarity: float):
+    """Compares neighbours in partitions sorted by token: (kind, a, b) rows.
+
+    Nodes of different parts that share a token and whose sizes allow the similarity have kind 0; a token of more than PAIRWISE
+    nodes, not all of one part, gives one row (1, token, token).
+    """
+
+    def emit(token: np.ndarray, node: np.ndarray, part: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(token)))
+        mixed = np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start) if len(start) else np.zeros(0, bool)
+        big = start[mixed & (size > PAIRWISE)]
+        at = np.arange(len(token))
+        left = np.repeat(start + size, size) - at - 1  # members after this one
+        at, pairs, shift = at[np.repeat(mixed & (size <= PAIRWISE), size) & (left > 0)], [np.zeros((0, 2), np.int64)], 1
+        while len(at):
+            x, y = at, at + shift
+            near = (part[x] != part[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]))
+            x, y = node[x[near]], node[y[near]]
+            pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            shift += 1
+            at = at[left[at] >= shift]
+        pairs = np.concatenate(pairs)
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        kind = np.repeat([0, 1], [len(pairs), len(big)])
+        a, b = (np.concatenate([pairs[:, i], token[big]]) for i in (0, 1))
+        return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            cols = [np.concatenate((old, batch.column(i).to_numpy())) for i, old in enumerate(rest)]
+            if not len(cols[0]):
+                continue
+            cut = int(np.argmax(cols[0] == cols[0][-1]))
+            yield emit(*(c[:cut] for c in cols))
+            rest = [c[cut:] for c in cols]
+            # one more than are compared shows that a token is dense, one of another part that it is mixed
+            few = np.arange(min(len(rest[0]), PAIRWISE + 1))
+            few = np.unique(np.append(few, np.argmax(rest[2] != rest[2][0])))
+            rest = [c[few] for c in rest]
+        yield emit(*rest)
+        forget()
+
+    return run
+
+
+def _sharing(parted: DataFrame, rows: DataFrame, shingle: int, similarity: float, levels: np.ndarray) -> DataFrame:
+    """(a, b): nodes, or parts, that connect the parts of all nodes with the similarity.
+
+    parted: first (a doc_id with that text), node, part. One shuffle deals the nodes' first shingles; tokens of many nodes in
+    several parts are named, not compared, and then dealt in pairs of blocks to many tasks.
+    """
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            n = np.stack([b.column(i).to_numpy() for i in (2, 4)], axis=1).reshape(-1)
+            held = [np.frombuffer(p.as_buffer(), "<u8") for x, y in zip(b.column(3), b.column(5), strict=True) for p in (x, y)]
+            sets = Sizes(n, held, similarity)
+            hit = [bool(sets.may(2 * i, np.array([2 * i + 1]))[0]) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    def run(table: pa.Table) -> pa.Table:
+        part, n = (table.column(c).to_numpy() for c in ("part", "n"))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        parts, own, size = np.unique(part, return_inverse=True, return_counts=True)
+        if len(parts) > 1:
+            held = [np.frombuffer(p.as_buffer(), "<u8") for p in table.column("parity")]
+            sets = Sizes(n, held, similarity)
+            for i in np.flatnonzero(own != np.argmax(size)):  # of two parts one at least is not the largest
+                rest = np.flatnonzero(own != own[i])
+                found = np.unique(part[rest[sets.may(i, rest)]])
+                a.append(np.full(len(found), part[i]))
+                b.append(found)
+        release(table)
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    made = _prefixes(rows.where("doc_id IS NOT NULL").select("doc_id", "text"), shingle, similarity, levels)
+    made = made.withColumnRenamed("doc_id", "first").join(parted.select("first", "node", "part"), ["first", "node"])
+    made = durable(made.select("node", "part", "n", "parity", "prefix"), "prefixes")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = made.select(F.explode("prefix").alias("token"), "node", "part", "n").repartition(parts, "token").sortWithinPartitions("token")
+    shared = durable(dealt.mapInArrow(_share(similarity), "kind int, a long, b long"), "shared")
+
+    few = durable(shared.where("kind = 0").select("a", "b").distinct(), "pairs")
+    ends = durable(few.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    one = made.join(small_side(ends), "node").groupBy("node").agg(F.min("n").alias("n"), F.min("parity").alias("parity"))
+    one = durable(one, "parities")
+    both = few.join(one.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("parity").alias("x")), "a")
+    both = both.join(one.select(F.col("node").alias("b"), "n", F.col("parity").alias("y")), "b").select("a", "b", "m", "x", "n", "y")
+    near = both.mapInArrow(pairs, "a long, b long")
+
+    dense = small_side(durable(shared.where("kind = 1").select(F.col("a").alias("token")).distinct(), "dense"))
+    members = made.select(F.explode("prefix").alias("token"), "node", "part", "n", "parity").join(dense, "token")
+    members = durable(members, "members")
+    sizes = durable(members.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("k")), "sizes")
+    own = members.join(small_side(sizes), "token").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
+    own = own.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    own = own.select("token", "part", "n", "parity", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    return near.unionAll(own.groupBy("token", "i", "j").applyInArrow(run, "a long, b long"))
 
 
 def similar(x, y, size: int):
@@ -406,7 +604,7 @@ def similar(x, y, size: int):
 
 
 def _verified(rows: DataFrame, members: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
-    """(a, b): nodes of one component that are within ``radius`` bits and whose sets of shingles have the Jaccard similarity.
+    """(a, b): nodes of one component that are within ``radius`` bits (64: any) and whose sets of shingles have the Jaccard similarity.
 
     members: first (a doc_id with that text), node, fp, root, k (blocks of the component). The links of a component, or of each
     pair of its blocks, connect all that such pairs connect. Only the texts of members are read again.
@@ -425,9 +623,11 @@ def _verified(rows: DataFrame, members: DataFrame, shingle: int, similarity: flo
         held = table.column("shingles")
         held = [np.frombuffer(held[i].as_buffer(), "<u8") for i in at.tolist()]
         n = np.array([len(u) for u in held])
+        sizes = Sizes(n, [_parity(u) for u in held], similarity)
 
         def near(i: int, rest: np.ndarray) -> np.ndarray:
-            hit = (np.bitwise_count(x[rest] ^ x[i]) <= radius) & (np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]))
+            hit = np.bitwise_count(x[rest] ^ x[i]) <= radius
+            hit[hit] = sizes.may(i, rest[hit])
             some = rest[hit]
             if len(some):
                 every = np.concatenate([held[j] for j in some])
@@ -461,35 +661,44 @@ def _likely_links(prints: DataFrame, nodes: DataFrame, similarity: float, radius
     return near.select("a", "b").unionAll(found.where("star").select("a", "b"))
 
 
-def _near_links(prints: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float, radius: int, masks: list[int], sketch: int) -> DataFrame:
-    """(a, b): verified links between nodes, which connect all that candidates with the similarity connect.
+def _near_links(
+    prints: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float, radius: int | None, masks: list[int], sketch: int, levels: np.ndarray
+) -> DataFrame:
+    """(a, b): verified links between nodes, which connect all that pairs with the similarity (and within the radius) connect.
 
     The first tables' links make parts of nodes; of the others only links between different parts are needed, so a large
-    group does not give its links once a table.
+    group does not give its links once a table. What fingerprints leave in different parts is searched by shared shingles.
     """
+    most, radius = (BITS, CLOSE) if radius is None else (radius, radius)
     rest = [m for i, m in enumerate(masks) if i % EARLY]
     early = _likely_links(prints, nodes.select("node", "fp", "sig"), similarity, radius, masks[::EARLY], sketch)
     roots = durable(connected_components(early), "early")
     parted = nodes.join(roots.withColumnRenamed("root", "part"), "node", "left")
     parted = durable(parted.select("node", "fp", "sig", F.coalesce("part", "node").alias("part")), "parted")
     late = _likely_links(prints, parted, similarity, radius, rest, sketch)
-    parts = connected_components(late.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    near = durable(connected_components(late.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "near")
+    parted = nodes.join(near.withColumnRenamed("root", "part"), "node", "left")
+    parted = durable(parted.select("first", "node", F.coalesce("part", "node").alias("part")), "parted")
+    shared = _sharing(parted, rows, shingle, similarity, levels)
+    parts = connected_components(shared.unionAll(near.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     members = durable(nodes.join(durable(parts, "parts"), "node").select("first", "node", "fp", "n", "root"), "candidates")
     many = durable(members.groupBy("root").agg(F.ceil(F.sum("n") / SETS).cast("long").alias("k"), F.count("*").alias("m")), "components")
     members = spread_join(members.drop("n"), many.select("root", "k"), "root", many.select("root", F.col("m").alias("n")), F.col("node"))
-    return _verified(rows, durable(members.select("first", "node", "fp", "root", "k"), "members"), shingle, similarity, radius)
+    return _verified(rows, durable(members.select("first", "node", "fp", "root", "k"), "members"), shingle, similarity, most)
 
 
 def drop_near_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 14, blocks: int = 12, kept: int = 3, sketch: int = 128
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int | None = 14, blocks: int = 12, kept: int = 3, sketch: int = 128
 ) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
 
+    Two documents are linked if the Jaccard similarity of their distinct shingles is ``similarity`` (over 0) or more and, unless
+    ``radius`` is None, their fingerprints differ in ``radius`` bits at most. No such link is left out.
+
     Fingerprints that agree under one of the block masks (certain within ``blocks - kept`` bits, likely beyond) and differ
-    in ``radius`` bits at most are candidates: a similarity of 0.8 moves about ten bits of 64. Bottom sketches of ``sketch``
-    hashes only discard pairs that are clearly distant. Whatever candidates connect is then compared by all distinct shingles:
-    two documents are linked if they are within ``radius`` bits and the Jaccard similarity is ``similarity`` or more, however
-    their fingerprints came to agree. Equal sets of shingles are one document. Of rows that repeat both doc_id and text one
+    in ``radius`` bits (None: CLOSE) at most are candidates: a similarity of 0.8 moves about ten bits of 64. Bottom sketches of
+    ``sketch`` hashes discard pairs that are clearly distant. What that leaves in different parts is searched by the
+    shingles that similar sets must share, exactly. Whatever candidates connect is then compared by all distinct shingles. Equal sets of shingles are one document. Of rows that repeat both doc_id and text one
     stays. Documents without words and those with a null doc_id are kept. Null texts have no words. An empty table gives an
     empty one. All columns are kept, whatever their names (doc_id and text must be there).
     """
@@ -498,11 +707,13 @@ def drop_near_duplicates(
     doc_id, text = F.col(names[key]).cast("long"), F.col(names[body])
     rows = plain.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), utf8(text).alias("text"))
     prints = durable(_sketches(rows, shingle, sketch), "simhash")
+    levels = _levels(prints.where("counts IS NOT NULL").select("n", "counts"))
+    prints = prints.where("counts IS NULL").drop("counts")
     with_words = prints.where("doc_id IS NOT NULL AND n > 0")
     # equal sets of shingles have equal fingerprints but for repeats; the least of each stands for the set
     least = [F.min(c).alias(c) for c in ("fp", "sig", "n")]
     nodes = durable(with_words.groupBy("node").agg(F.min("doc_id").alias("first"), *least, F.count("*").alias("rows")), "nodes")
-    links_ = durable(_near_links(prints, nodes, rows, shingle, similarity, radius, block_masks(blocks, kept), sketch), "links")
+    links_ = durable(_near_links(prints, nodes, rows, shingle, similarity, radius, block_masks(blocks, kept), sketch, levels), "links")
     named = named_components(nodes.select("node", "first"), links_)
     every = spread_join(with_words.select("node", "doc_id", "h"), named, "node", nodes.select("node", F.col("rows").alias("n")), F.col("doc_id"))
     copies = durable(every.where("doc_id <> component_id").select(F.col("doc_id").alias("copy"), F.col("h").alias("copy_h")).distinct(), "copies")

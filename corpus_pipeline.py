@@ -26,9 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group; the similarity alone decides."""
     ship_package(spark)
-    return drop_near_duplicates(docs, shingle=5, similarity=0.8).select(*COLUMNS)
+    return drop_near_duplicates(docs, shingle=5, similarity=0.8, radius=None).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

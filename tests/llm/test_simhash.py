@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from arborlake.llm import simhash
 from brute import components, shingles
 from brute import simhash as simhash_of
@@ -237,3 +239,26 @@ def test_hot_fingerprints_and_components(spark):
     prints = {d: simhash_of(t, 3) for d, t in rows}
     edges = [(a, b) for a in prints for b in prints if 1000 <= a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
     assert len(got) == len(rows) and all(got[i] == 0 for i in range(900)) and all(got[a] == got[b] for a, b in edges)
+
+
+@pytest.mark.parametrize("pairwise,block", [(48, 1024), (2, 8)])
+def test_pairs_with_distant_fingerprints_are_found(spark, pairwise, block, monkeypatch):
+    """The similarity alone decides in the pipeline, so pairs of any fingerprints count, and texts that share a passage do not."""
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    if block == 8:  # any order of the shingles gives the same; in this one passages come as early as other words
+        monkeypatch.setattr(simhash, "_levels", lambda counts: np.zeros(simhash.CLASSES, np.uint8))
+    rnd, rows = random.Random(5), []
+    passage = [f"p{k}" for k in range(30)]
+    for i in range(600):
+        n = rnd.choice([60, 120, 300])
+        w = [f"t{i}_{rnd.randrange(3000)}" for _ in range(n)] + passage * (i % 3 == 0)
+        at, run = rnd.randrange(n), round(len(w) * rnd.uniform(0.2, 0.24))
+        two = [" ".join(w), " ".join(w[:at] + [f"own{i}_{k}" for k in range(run)] + w[at:])]
+        if i < 20 or (simhash_of(two[0], 5) ^ simhash_of(two[1], 5)).bit_count() > 13:
+            rows += [(i, two[0]), (1000 + i, two[1])]
+    rows += [(2000 + i, " ".join(passage * 4 + [f"o{i}_{k}" for k in range(6 + i % 3)])) for i in range(24)]
+    want = kept_by_definition(rows, bits=64)
+    distant = kept_by_definition(rows) - want
+    df = spark.createDataFrame([(*r, "en", "src", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(distant) > 2 and {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == want
